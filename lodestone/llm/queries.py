@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.session import table
 
-from . import langid, quality
+from . import bpe, langid, quality, simhash
 from .textscan import fold
 
 
@@ -31,8 +31,25 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", _held(4, 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def byte_bpe_path() -> str:
+    """The vocabulary file of the query; a package that ships it is asked for its place."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = bpe.encode(table(spark, sf_dir, "documents"), byte_bpe_path(), keep=["doc_id"])
+    return got.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.as_hex("fp").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op6_language": op6_language}
+    return {"op1_quality": op1_quality, "op3_byte_bpe": op3_byte_bpe, "op6_language": op6_language, "op7_simhash": op7_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
