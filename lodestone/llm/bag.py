@@ -154,6 +154,16 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: list,
     return model, model.calibrated(logits.copy()), y[use]
 
 
+def collected(df, label: str) -> tuple[list[tuple[np.ndarray, np.ndarray]], list]:
+    """Features (ids, w) and labels of a bounded sample, ordered by doc_id, without further copies of them."""
+    got = df.toArrow().sort_by([("doc_id", "ascending"), (label, "ascending")]).combine_chunks()
+    y = got.column(label).to_pylist()
+    ids, w = got.column("ids").combine_chunks(), got.column("w").combine_chunks()
+    at = ids.offsets.to_numpy()
+    flat, weights = ids.values.to_numpy(), w.values.to_numpy()
+    return [(flat[a:b], weights[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], y
+
+
 def calibrate(model: Bag, logits: np.ndarray, y: np.ndarray) -> None:
     """Fit scale (and shift for two classes) by gradient descent on the log loss, held near 1 and 0."""
     if not len(y):

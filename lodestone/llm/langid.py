@@ -20,7 +20,7 @@ from . import bag
 from .textscan import codepoints, map_texts, segment_sum, share, utf8
 
 #: Bound of the rows that a model is fitted on, for each language.
-ROWS_PER_LANGUAGE = 700
+ROWS_PER_LANGUAGE = 350
 #: Languages learned at most; the most frequent ones.
 LANGUAGES = 200
 #: Longest text that is learned from (every text is scored whole).
@@ -73,13 +73,13 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "do
 
         return work
 
-    got = map_texts(sample.withColumnRenamed(lang, "__label__"), text, [doc_id, "__label__"], "ids array<int>, w array<float>", make).toPandas()
-    if not len(got):
+    named = sample.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("__label__"), F.col(text).alias("text"))
+    rows, names = bag.collected(map_texts(named, "text", ["doc_id", "__label__"], "ids array<int>, w array<float>", make), "__label__")
+    if not rows:
         return LanguageModel(None, 0.0)
-    got = got.sort_values(doc_id, kind="stable").reset_index(drop=True)
-    classes = sorted(set(got["__label__"]))
-    y = got["__label__"].map({c: i for i, c in enumerate(classes)}).to_numpy()
-    model, p, truth = bag.fit([(np.asarray(i), np.asarray(w)) for i, w in zip(got["ids"], got["w"], strict=True)], y, classes, balance=True)
+    classes = sorted(set(names))
+    y = np.array([classes.index(n) for n in names], np.int64)
+    model, p, truth = bag.fit(rows, y, classes, balance=True)
     right = np.sort(p.max(axis=1)[p.argmax(axis=1) == truth]) if len(p) else np.zeros(0)
     # the smallest confidence of right answers, but for a small share; never above one half
     least = min(0.5, float(right[int(len(right) * REJECTED_SHARE)]) * 0.8) if len(right) else 0.0

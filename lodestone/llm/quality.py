@@ -19,7 +19,7 @@ from . import bag
 from .textscan import map_texts, share
 
 #: Bound of the rows that a model is fitted on, for each of the two labels.
-ROWS_PER_LABEL = 1500
+ROWS_PER_LABEL = 700
 #: Longest text that is learned from (every text is scored whole).
 LEARN_CHARS = 1_000_000
 
@@ -60,12 +60,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", learn: Colum
 
         return work
 
-    got = map_texts(sample, "text", ["doc_id", "y"], "ids array<int>, w array<float>", make).toPandas()
-    if not len(got):
-        return None
-    got = got.sort_values(["doc_id", "y"], kind="stable").reset_index(drop=True)
-    rows = [(np.asarray(i), np.asarray(w)) for i, w in zip(got["ids"], got["w"], strict=True)]
-    return bag.fit(rows, got["y"].to_numpy().astype(np.int64), [0, 1], epochs=8)[0]
+    rows, y = bag.collected(map_texts(sample, "text", ["doc_id", "y"], "ids array<int>, w array<float>", make), "y")
+    return bag.fit(rows, np.array(y, np.int64), [0, 1], epochs=8)[0] if rows else None
 
 
 def score(df: DataFrame, model: bag.Bag | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:

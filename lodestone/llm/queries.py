@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.session import table
+from lodestone.storage import cut
 
-from . import bpe, langid, quality, simhash
+from . import bpe, langid, quality, rules, simhash
 from .textscan import fold
 
 
@@ -24,6 +25,15 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    stats = cut(rules.statistics(docs, keep=["doc_id"]))
+    chosen = rules.labelled(labels.where(fold("doc_id", 5) != 0))
+    forest = rules.fit(stats.join(F.broadcast(chosen), "doc_id"))
+    judged = rules.judge(stats, forest)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs, learn=fold("doc_id", 4) != 2)
@@ -49,7 +59,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op3_byte_bpe": op3_byte_bpe, "op6_language": op6_language, "op7_simhash": op7_simhash}
+    return {"op1_quality": op1_quality, "op3_byte_bpe": op3_byte_bpe, "op4_rules": op4_rules, "op6_language": op6_language, "op7_simhash": op7_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
