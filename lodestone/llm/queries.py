@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.session import table
 from lodestone.storage import cut
 
-from . import bpe, langid, quality, rules, simhash
+from . import bpe, langid, quality, rules, simhash, toxicity
 from .textscan import fold
 
 
@@ -58,8 +58,15 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex("fp").alias("fingerprint"), "component_id")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    field = toxicity.fit(docs, labels, learn=fold("doc_id", 5) != 0)
+    scored = toxicity.score(docs, field, keep=["doc_id"])
+    return scored.select("doc_id", _held(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op3_byte_bpe": op3_byte_bpe, "op4_rules": op4_rules, "op6_language": op6_language, "op7_simhash": op7_simhash}
+    return {"op1_quality": op1_quality, "op3_byte_bpe": op3_byte_bpe, "op4_rules": op4_rules, "op6_language": op6_language, "op7_simhash": op7_simhash, "op9_toxicity": op9_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
