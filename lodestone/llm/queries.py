@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.session import table
 from lodestone.storage import cut
 
-from . import bpe, langid, quality, rules, simhash, toxicity
+from . import bpe, langid, mtree, quality, rules, simhash, toxicity
 from .textscan import fold
 
 
@@ -34,6 +34,27 @@ def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
 
 
+def op5_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = mtree.scaled(table(spark, sf_dir, "embeddings"), "embedding", "vec_id")
+    return mtree.top_k(vectors, vectors.where(F.pmod("id", F.lit(20)) == 0), 20)
+
+
+OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS c
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, p.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.c, p.c), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v p ON q.vec_id <> p.vec_id WHERE q.vec_id % 20 = 0),
+r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs, learn=fold("doc_id", 4) != 2)
@@ -66,8 +87,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op3_byte_bpe": op3_byte_bpe, "op4_rules": op4_rules, "op6_language": op6_language, "op7_simhash": op7_simhash, "op9_toxicity": op9_toxicity}
+    return {"op1_quality": op1_quality, "op3_byte_bpe": op3_byte_bpe, "op4_rules": op4_rules, "op5_mtree": op5_mtree, "op6_language": op6_language, "op7_simhash": op7_simhash, "op9_toxicity": op9_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_mtree": OP5_SQL}
