@@ -268,9 +268,9 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     return links.unionByName(dense.select("a", "b"))
 
 
-def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, fp, component_id) of every row."""
-    docs = cut(fingerprints(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), keep=["doc_id"]))
+def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, component_id) of every row, and its columns ``keep``."""
+    docs = cut(fingerprints(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *keep), keep=["doc_id", *keep]))
     each = cut(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     roots = components(fingerprint_links(each))
     joined = each.join(roots, each["fp"] == roots["node"], "left")
@@ -279,7 +279,7 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     in_links = grouped.join(whole, "root").select("fp", "component_id")
     copies = joined.where("root is null and n > 1").select("fp", F.col("least").alias("component_id"))
     table = cut(in_links.unionByName(copies))  # both sides of the next join are then dealt anew, and hot keys split
-    return docs.join(table, "fp", "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return docs.join(table, "fp", "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"), *keep)
 
 
 def as_hex(fp):
