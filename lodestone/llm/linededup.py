@@ -6,8 +6,8 @@ more than once anywhere, the first by (doc_id, line) stays, and the lines that
 later ones cover are removed; positions covered by several are merged.
 
 Only hashes and positions are shuffled to find windows, counted with map-side
-combining; the windows and the repeated ones are cut before they are joined, so
-that adaptive execution can split a window that many documents share.
+combining; the repeated ones are cut before they are joined, so that adaptive
+execution can split a window that many documents share.
 
 Defined results: a null text stays null and has no lines; texts of fewer than
 three lines have no window and stay; null ids come last; rows equal in id and
@@ -18,6 +18,9 @@ only are told apart by their text. Extra columns are kept; ``n_lines`` and
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,23 +41,23 @@ def windows(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
         lambda i: F.struct(
             F.xxhash64(*[F.get("lines", i + k) for k in range(WINDOW)]).alias("h1"),
             F.xxhash64(F.lit(WINDOW), *[F.get("lines", i + k) for k in range(WINDOW)]).alias("h2"),
-            F.trim(F.concat(*[F.get("lines", i + k) for k in range(WINDOW)])).alias("joined"),
+            reduce(or_, [F.trim(F.get("lines", i + k)) != "" for k in range(WINDOW)]).alias("worded"),
         ),
     )
     rows = lines.select("id", "th", F.posexplode(each).alias("pos", "w"))
-    return rows.where(F.col("w.joined") != "").select("id", "th", "pos", F.col("w.h1").alias("h1"), F.col("w.h2").alias("h2"))
+    return rows.where("w.worded").select("id", "th", "pos", F.col("w.h1").alias("h1"), F.col("w.h2").alias("h2"))
 
 
 def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows with the repeated lines removed from their text, n_lines (before) and n_removed."""
-    every = cut(windows(df, text, doc_id))
+    every = windows(df, text, doc_id)
     place = F.struct("id", "th", "pos")
     repeated = cut(every.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first"))
     later = every.join(repeated, ["h1", "h2"]).where(place != F.col("first"))
     covered = later.groupBy("id", "th").agg(F.collect_set("pos").alias("starts")).select(F.col("id").alias("__id"), F.col("th").alias("__th"), "starts")
     others = [c for c in df.columns if c.lower() not in ("n_lines", "n_removed")]
     keyed = df.select(*[F.col(f"`{c}`") for c in others], F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("__id"), F.xxhash64(text).alias("__th"))
-    joined = keyed.join(covered, ["__id", "__th"], "left")
+    joined = keyed.join(covered.hint("shuffle_hash"), ["__id", "__th"], "left")  # hashed are positions; texts needn't be sorted
     lines = _lines(text)
     gone = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda k: s + k))))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.get(lines, i))
