@@ -1,8 +1,8 @@
 """Connected components of links between 64-bit keys, by alternating stars.
 
-Nothing is gathered on the driver but two sums a round. A node's smallest
+Nothing is gathered on the driver but a few sums a round. A node's smallest
 neighbour comes from an aggregate with map-side combining. Where it is joined
-back, nodes with more than a thousandth of the links (at most 2,000 nodes, by
+back, nodes with more than a thousandth of the links (at most a thousand nodes, by
 that definition) go by broadcast, so that no task gets all links of a hot node.
 Each round is cut by a checkpoint in the shared folder.
 """
@@ -20,42 +20,37 @@ HOT_SHARE = 1000
 ROUNDS = 60
 
 
-def _with_least(links: DataFrame, total: int) -> DataFrame:
+def _with_least(links: DataFrame) -> DataFrame:
     """Add to each (u, v) the smallest of u and all its neighbours, as m."""
     least = cut(links.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
-    hot_rows = max(1000, 2 * total // HOT_SHARE)
-    hot = F.broadcast(least.where(F.col("n") > hot_rows).select("u", "m"))  # at most HOT_SHARE rows
-    cold = least.where(F.col("n") <= hot_rows).select("u", "m")
+    facts = least.agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
+    bar = max(1000, (facts["all"] or 0) // HOT_SHARE)
+    if (facts["most"] or 0) <= bar:
+        return links.join(least.select("u", "m"), "u")
+    hot = F.broadcast(least.where(F.col("n") > bar).select("u", "m"))  # at most HOT_SHARE rows
     tried = links.join(hot, "u", "left")
-    return tried.where("m is not null").unionByName(tried.where("m is null").drop("m").join(cold, "u"))
+    rest = tried.where("m is null").drop("m").join(least.where(F.col("n") <= bar).select("u", "m"), "u")
+    return tried.where("m is not null").unionByName(rest)
 
 
-def _state(links: DataFrame) -> tuple[int, int]:
-    r = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-    return r["n"], int(r["s"] or 0)
+def _settled(links: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour at most, and that has none itself."""
+    kids = links.groupBy("a").agg(F.count("*").alias("n"))
+    r = kids.join(links.select(F.col("b").alias("root")).distinct(), F.col("a") == F.col("root"), "left").agg(F.max("n").alias("most"), F.count("root").alias("inner")).first()
+    return (r["most"] or 0) <= 1 and r["inner"] == 0
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node in ``links`` (a, b: long): root is the smallest key it reaches."""
     now = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = _state(now)
-    for _ in range(ROUNDS):
-        if not state[0]:
-            break
+    rounds = 0
+    while not _settled(now):
+        if (rounds := rounds + 1) > ROUNDS:
+            raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = _with_least(both, state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut(large)
-        small = _with_least(large, large.count())
-        now = cut(
-            small.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
-            .unionByName(small.where("u <> m").select(F.col("u").alias("a"), F.col("m").alias("b")))
-            .distinct()
-        )
-        before, state = state, _state(now)
-        if state == before:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
-        now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    )
+        # large star: a node's larger neighbours are linked to the smallest one
+        large = cut(_with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        # small star: a node's smaller neighbours, and itself, are linked to the smallest one
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        now = cut(small.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(small.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct())
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bag
-from .textscan import codepoints, map_texts, segment_sum, share, utf8
+from .textscan import codepoints, map_texts, release, segment_sum, share, utf8
 
 #: Bound of the rows that a model is fitted on, for each language.
 ROWS_PER_LANGUAGE = 350
@@ -80,6 +80,8 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "do
     classes = sorted(set(names))
     y = np.array([classes.index(n) for n in names], np.int64)
     model, p, truth = bag.fit(rows, y, classes, balance=True)
+    del rows
+    release()
     right = np.sort(p.max(axis=1)[p.argmax(axis=1) == truth]) if len(p) else np.zeros(0)
     # the smallest confidence of right answers, but for a small share; never above one half
     least = min(0.5, float(right[int(len(right) * REJECTED_SHARE)]) * 0.8) if len(right) else 0.0

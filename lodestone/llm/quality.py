@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bag
-from .textscan import map_texts, share
+from .textscan import map_texts, release, share
 
 #: Bound of the rows that a model is fitted on, for each of the two labels.
 ROWS_PER_LABEL = 700
@@ -61,7 +61,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", learn: Colum
         return work
 
     rows, y = bag.collected(map_texts(sample, "text", ["doc_id", "y"], "ids array<int>, w array<float>", make), "y")
-    return bag.fit(rows, np.array(y, np.int64), [0, 1], epochs=8)[0] if rows else None
+    model = bag.fit(rows, np.array(y, np.int64), [0, 1], epochs=8)[0] if rows else None
+    del rows
+    release()
+    return model
 
 
 def score(df: DataFrame, model: bag.Bag | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:

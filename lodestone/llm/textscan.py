@@ -6,6 +6,9 @@ never cut: a block holds as many whole texts as fit, at least one.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -155,6 +158,14 @@ def segment_sum(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
+def release() -> None:
+    """Give memory that a fit has freed back to the system; the driver lives on for other work."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def fold(doc_id, n: int):
     """crc32 of an id as text, modulo ``n``; null for a null id."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(n))

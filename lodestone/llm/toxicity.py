@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import quality
-from .textscan import U64, codepoints, map_texts, mixed, prefix_hash, runs, segment_sum, slice_hash, utf8
+from .textscan import U64, codepoints, map_texts, mixed, prefix_hash, release, runs, segment_sum, slice_hash, utf8
 
 BITS = 18
 LONGEST = 40
@@ -263,6 +263,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: Column
     field = _train(Words(w.start[at], w.end[at], off, off, w.features[at], off), tags[at])
     _calibrate(field, field.marginals(w), w.doc_off, toxic)
     field.weights = field.weights.astype(np.float32)
+    del w, got, tags
+    release()
     return field
 
 
