@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import bpe, langid, linededup, mixing, simhash
 from lodestone.llm.queries import byte_bpe_path
 from lodestone.session import table
-from lodestone.storage import scratch
+from lodestone.storage import cut, scratch
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +32,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of near-duplicates the document with the smallest id stays, once."""
     # rows of one id are told apart by their text; rows equal in both are one
     named = docs.withColumn("__th", F.xxhash64("text"))
-    found = simhash.near_duplicates(named, keep=("__th",))
-    dropped = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("__th").alias("__gone")).distinct()
-    left = named.join(dropped, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__th").eqNullSafe(F.col("__gone")), "left_anti")
-    return left.dropDuplicates(["doc_id", "__th"]).select(*docs.columns)
+    found = cut(simhash.near_duplicates(named, keep=("__th",)).select("doc_id", "__th", "component_id"))
+    key = [F.col("doc_id").alias("__id"), F.col("__th").alias("__gone")]
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__th").eqNullSafe(F.col("__gone"))
+    dropped = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*key).distinct()
+    # hashed are ids, so that texts needn't be sorted
+    left = named.join(dropped.hint("shuffle_hash"), same, "left_anti")
+    repeated = cut(found.groupBy("doc_id", "__th").count().where("count > 1").select(*key))
+    if not repeated.isEmpty():
+        once = left.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "__th"])
+        left = left.join(repeated, same, "left_anti").unionByName(once)
+    return left.select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
