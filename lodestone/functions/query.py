@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import ascii_lower, col, compact, segments, singular
+from .text import ascii_lower, col, compact, runs_of, segments, singular
 
 # Words that a query's tokens leave out, after they are made singular.
 STOPWORDS = (
@@ -65,7 +65,7 @@ def variants(query: Column | str, primary: Column, expanded_tokens: Column) -> C
 
 def location_intent(query: Column | str) -> Column:
     """Whether a word of the query asks for a place."""
-    return F.arrays_overlap(F.split(ascii_lower(query), "[^a-z0-9]+"), _words(LOCATION_WORDS))
+    return F.arrays_overlap(runs_of(ascii_lower(query), "[a-z0-9]+"), _words(LOCATION_WORDS))
 
 
 def prepared(queries, query: str = "query"):

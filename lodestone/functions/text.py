@@ -42,12 +42,17 @@ def lines(c: Column | str) -> Column:
     return F.when(F.element_at(every, -1) == "", F.slice(every, 1, F.size(every) - 1)).otherwise(every)
 
 
+def runs_of(c: Column, pattern: str) -> Column:
+    """All matches in order. Splitting at the complement is equal but takes 25 times as long: Java matches negated classes slowly."""
+    return F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+
+
 def segments(c: Column | str) -> Column:
     """Lower-cased parts of identifiers: cut at other characters, at case changes and between letters and digits."""
     spaced = col(c)
     for pattern in ("([a-z])([A-Z])", "([A-Za-z])([0-9])", "([0-9])([A-Za-z])"):
         spaced = F.regexp_replace(spaced, pattern, "$1 $2")
-    return F.filter(F.split(ascii_lower(spaced), "[^a-z0-9]+"), lambda x: x != "")
+    return runs_of(ascii_lower(spaced), "[a-z0-9]+")
 
 
 def tokens(c: Column | str) -> Column:
@@ -56,12 +61,14 @@ def tokens(c: Column | str) -> Column:
 
 
 def singular(c: Column | str) -> Column:
-    """Singular of a lower-case English word by rule; short and mixed tokens are unchanged."""
+    """Singular of a lower-case English word by rule; short and mixed tokens are unchanged.
+
+    Most words are settled by the first test, which needs no regular expression.
+    """
     t = col(c)
-    out = F.when((F.length(t) <= 3) | ~t.rlike("^[a-z]+$") | t.isin(*UNCOUNTABLE), t)
-    for plural, one in IRREGULAR.items():
-        out = out.when(t == plural, F.lit(one))
-    out = out.when(t.rlike(UNCHANGED_ENDING), t)
+    table = F.create_map(*[F.lit(x) for pair in IRREGULAR.items() for x in pair])
+    out = F.when(~F.endswith(t, F.lit("s")) & ~t.isin(*IRREGULAR), t).when((F.length(t) <= 3) | t.rlike("[^a-z]") | t.isin(*UNCOUNTABLE), t)
+    out = out.when(t.isin(*IRREGULAR), F.element_at(table, t)).when(t.rlike(UNCHANGED_ENDING), t)
     for ending, cut, added in PLURAL_RULES:
         out = out.when(t.rlike(ending), F.concat(t.substr(F.lit(1), F.length(t) - cut), F.lit(added)))
     return out.otherwise(t)
@@ -69,26 +76,25 @@ def singular(c: Column | str) -> Column:
 
 def compact(c: Column | str) -> Column:
     """ASCII letters and digits only, lower-cased."""
-    return ascii_lower(F.regexp_replace(col(c), "[^A-Za-z0-9]", ""))
+    return ascii_lower(F.array_join(raw_words(c), ""))
 
 
 def variants(token: Column) -> Column:
     """A raw word's forms for embedding: the whole in lower case and its parts, sorted."""
-    return F.array_sort(F.array_distinct(F.concat(F.array(ascii_lower(token)), segments(token))))
+    parts = F.array_sort(F.array_distinct(F.concat(F.array(ascii_lower(token)), segments(token))))
+    # capitals, then small letters, or digits alone: there is nothing to cut
+    return F.when(token.rlike("^([A-Z]*[a-z]*|[0-9]+)$"), F.array(ascii_lower(token))).otherwise(parts)
 
 
-def embedding_term(token: Column) -> Column:
-    """The singular of a form, or its synonym."""
-    one = singular(token)
-    out = None
-    for word, other in EMBEDDING_ALIASES.items():
-        out = F.when(one == word, F.lit(other)) if out is None else out.when(one == word, F.lit(other))
-    return out.otherwise(one)
+def embedding_alias(one: Column) -> Column:
+    """The synonym of a form, or the form itself."""
+    table = F.create_map(*[F.lit(x) for pair in EMBEDDING_ALIASES.items() for x in pair])
+    return F.when(one.isin(*EMBEDDING_ALIASES), F.element_at(table, one)).otherwise(one)
 
 
 def raw_words(c: Column | str) -> Column:
     """Runs of ASCII letters and digits."""
-    return F.filter(F.split(col(c), "[^A-Za-z0-9]+"), lambda x: x != "")
+    return runs_of(col(c), "[A-Za-z0-9]+")
 
 
 def preview_line(c: Column | str) -> Column:

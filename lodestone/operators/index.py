@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import embedding_term, md5_number, raw_words, tokens, variants
+from lodestone.functions.text import embedding_alias, md5_number, raw_words, singular, tokens, variants
 
 #: Fields that are tokenized, and their weights in ranking.
 FIELDS = {"text": 1.0, "file_path": 5.0, "signature": 10.0}
@@ -38,9 +38,14 @@ def field_stats(lens: DataFrame) -> DataFrame:
 
 
 def terms_of(chunks: DataFrame, text: str = "text") -> DataFrame:
-    """(chunk_id, term) of a text's embedding: every form of every word, singular or by synonym."""
-    forms = F.flatten(F.transform(raw_words(text), variants))
-    return chunks.select("chunk_id", F.explode(F.transform(forms, embedding_term)).alias("term"))
+    """(chunk_id, term) of a text's embedding: every form of every word, singular or by synonym.
+
+    Words are exploded first, so that what is done to each runs as generated
+    code and not once more for each use of it.
+    """
+    words = chunks.select("chunk_id", F.explode(raw_words(text)).alias("word"))
+    forms = words.select("chunk_id", F.explode(variants(F.col("word"))).alias("form"))
+    return forms.withColumn("one", singular("form")).select("chunk_id", embedding_alias(F.col("one")).alias("term"))
 
 
 def hash_vectors(chunks: DataFrame, text: str = "text", dimensions: int = DIMENSIONS) -> DataFrame:

@@ -14,7 +14,7 @@ from lodestone.operators import candidates as cand
 from lodestone.operators import chunking, fusion, index, maintain, present
 from lodestone.plans import search
 from lodestone.plans import sqltext as s
-from lodestone.session import table
+from lodestone.session import spread, table
 from lodestone.sources import files as source_files
 from lodestone.sources import tables as adapters
 from lodestone.storage import cut
@@ -483,14 +483,14 @@ oc AS (SELECT chunk_id, field, len(tokens) AS length, unnest(tokens) AS term FRO
 vt AS (SELECT item_id AS query_id, '' AS variant, unnest(list_distinct({s.tokens("coalesce(text, '')")})) AS term FROM benchmark),{_bm25({'text': 1.0})}""",
 f"SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bv) WHERE rank <= {TOP}"))
 def bm25_topk(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.lit("text").alias("field"), ft.tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).select(F.col("doc_id").cast("string").alias("chunk_id"), F.lit("text").alias("field"), ft.tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("").alias("variant"), F.explode(F.array_distinct(ft.tokens(F.coalesce("text", F.lit(""))))).alias("term"))
-    return cand.first(cand.bm25(docs, asked, {"text": 1.0}), TOP).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+    return cand.first(cand.bm25(cut(docs), asked, {"text": 1.0}), TOP).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
 def _lexical(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     chunks, queries = cut(_chunks(spark, d)), _batch(spark)
-    return cand.lexical(index.tokenized(chunks), chunks, queries), chunks, queries
+    return cand.lexical(cut(index.tokenized(chunks)), chunks, queries), chunks, queries
 
 
 @register("bm25f_topk", sel(LEXICAL, f"SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM lx WHERE rank <= {TOP}"))

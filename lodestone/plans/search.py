@@ -46,8 +46,15 @@ def restricted(chunks: DataFrame, o: Options) -> DataFrame:
 
 
 def query_table(spark: SparkSession, texts: list[str]) -> DataFrame:
-    """Prepared queries, numbered from 1."""
-    return fq.prepared(spark.createDataFrame(list(enumerate(texts, 1)), "query_id bigint, query string"))
+    """Prepared queries, numbered from 1.
+
+    What is made of the strings is computed once and given to the plans as
+    literal rows, so the planner knows how few they are and needn't compile the
+    word rules for each use.
+    """
+    given = F.array(*[F.lit(t) for t in texts]).cast("array<string>")
+    each = spark.range(1, numPartitions=1).select(F.posexplode(given).alias("at", "query"))
+    return spark.createDataFrame(fq.prepared(each.select((F.col("at") + 1).cast("bigint").alias("query_id"), "query")).toArrow())
 
 
 @dataclass

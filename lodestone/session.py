@@ -31,6 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan in as many partitions as there are cores. Only a scan of fewer partitions than that is dealt anew,
+    which a table of many files never is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan._jdf.queryExecution().toRdd().getNumPartitions() < cores else scan
+
+
 def local_session(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSession:
     """A session for tests and the benchmark."""
     b = (

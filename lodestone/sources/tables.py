@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.session import table
+from lodestone.session import spread, table
 
 #: Folders and extensions that documents are laid out in, in turn by id.
 FOLDERS = ("src", "tests", "docs", "vendor", "lib", "config")
@@ -18,7 +18,7 @@ FUNCTIONS = 50
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(workspace_id, file_path, text, is_ignored): a file for each document; its source is the workspace."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     turn = (F.col("doc_id") % len(FOLDERS)).cast("int")
     pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), turn)
     path = F.concat(pick(FOLDERS), F.lit("/"), "source", F.lit("/"), "lang", F.lit("_"), F.col("doc_id").cast("string"), pick(EXTENSIONS))
@@ -45,7 +45,7 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages")
+    p = spread(table(spark, sf_dir, "pages"))
     path = F.concat(F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[^A-Za-z0-9./_-]", "_"), F.lit("_"), F.col("page_id").cast("string"), F.lit(".html"))
     return p.select(F.lit("pages").alias("workspace_id"), path.alias("file_path"), F.coalesce("html", F.lit("")).alias("text"), F.lit(False).alias("is_ignored"))
 
