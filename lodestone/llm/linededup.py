@@ -54,14 +54,14 @@ def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFram
     place = F.struct("id", "th", "pos")
     repeated = cut(every.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first"))
     later = every.join(repeated, ["h1", "h2"]).where(place != F.col("first"))
-    covered = later.groupBy("id", "th").agg(F.collect_set("pos").alias("starts")).select(F.col("id").alias("__id"), F.col("th").alias("__th"), "starts")
+    covered = later.groupBy("id", "th").agg(F.collect_set("pos").alias("__starts")).select(F.col("id").alias("__id"), F.col("th").alias("__th"), "__starts")
     others = [c for c in df.columns if c.lower() not in ("n_lines", "n_removed")]
     keyed = df.select(*[F.col(f"`{c}`") for c in others], F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("__id"), F.xxhash64(text).alias("__th"))
     joined = keyed.join(covered.hint("shuffle_hash"), ["__id", "__th"], "left")  # hashed are positions; texts needn't be sorted
     lines = _lines(text)
-    gone = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda k: s + k))))
+    gone = F.array_distinct(F.flatten(F.transform("__starts", lambda s: F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda k: s + k))))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.get(lines, i))
-    changed = F.when(F.col("starts").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
+    changed = F.when(F.col("__starts").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
     return joined.select(
         *[changed.alias(c) if c == text else F.col(f"`{c}`") for c in others],
         F.coalesce(F.when(F.col(text).isNotNull(), F.size(lines)), F.lit(0)).cast("long").alias("n_lines"),

@@ -52,3 +52,14 @@ def test_empty_and_odd_documents(spark, small):
         assert stage(spark, df, small).count() <= len(rows), name
     left = cp.near_duplicates(spark, df, small).collect()
     assert sum(r["doc_id"] == 3 for r in left) == 1 and sum(r["doc_id"] is None for r in left) == 1
+
+
+def test_columns_of_the_same_name_as_new_ones_stay(spark, small):
+    extra = ["score", "rejected", "lang_pred", "n_lines", "n_removed", "topic", "tokens", "probability", "sampled", "fp", "component_id", "starts", "id", "th", "n_tokens"]
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(40).selectExpr("*", *[f"concat('{c}', doc_id) as {c}" for c in extra])
+    for name, stage in cp.STAGES[:4]:
+        out = stage(spark, docs, small)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in extra), name
+    assert cp.encode(spark, docs, small).count() == 40
