@@ -7,6 +7,8 @@ read again. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,16 +18,31 @@ from lodestone.session import table
 from lodestone.storage import cut, scratch
 
 
+def with_new(docs: DataFrame, names: tuple[str, ...], operator: Callable[[DataFrame], DataFrame], decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The documents that ``decide`` keeps of the operator's result, with their own columns.
+
+    A column of the documents that has the name of one that the operator adds
+    steps aside meanwhile.
+    """
+    own = {c: f"__own_{c}" if c.lower() in names else c for c in docs.columns}
+    found = decide(operator(docs.select(*[F.col(f"`{c}`").alias(a) for c, a in own.items()])))
+    return found.select(*[F.col(f"`{a}`").alias(c) for c, a in own.items()])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the documents' own languages; documents that are rejected go."""
     model = langid.fit(docs)
-    return langid.predict(docs, model).where(~F.col("rejected")).select(*docs.columns)
+    return with_new(docs, ("lang_pred", "score", "rejected"), lambda df: langid.predict(df, model), lambda df: df.where(~F.col("rejected")))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of line windows go; a document of which no line remains goes too."""
-    done = linededup.dedup(docs).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
-    return done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+    def decide(df: DataFrame) -> DataFrame:
+        left = df.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+        return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+
+    return with_new(docs, ("n_lines", "n_removed"), linededup.dedup, decide)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +64,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents sampled by the calibrated probabilities of their cells."""
-    return mixing.mix(docs).where("sampled").select(*docs.columns)
+    return with_new(docs, ("topic", "tokens", "probability", "sampled"), mixing.mix, lambda df: df.where("sampled"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
