@@ -9,7 +9,7 @@ character follows from a blocked prefix scan over whole columns of characters.
 State and class say whether a pre-token begins.
 
 The slices between beginnings are merged pair by pair, lowest rank first, and
-the merged ids are cached by slice (bounded, emptied when full). The byte
+the merged ids are cached by slice, in two generations of bounded size. The byte
 offset at which each token ends is retained; decoding gathers the tokens' bytes
 from one flat table.
 
@@ -24,6 +24,7 @@ import heapq
 import sys
 import unicodedata
 from pathlib import Path
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,7 @@ STATES = 8
 #: What follows the apostrophe of a contraction.
 CONTRACTIONS_1 = "stmd"
 CONTRACTIONS_2 = ("re", "ve", "ll")
-#: Cached slices of a worker, and the longest one cached.
+#: Cached slices of a worker in each of two generations, and the longest one cached.
 CACHED, CACHED_BYTES = 300_000, 48
 #: Characters in a column of the blocked scan.
 COLUMN = 64
@@ -188,6 +189,7 @@ class Encoder(dict):
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         super().__init__()
+        self.older: dict[bytes, bytes] = {}
         self.ranks = ranks
         self.size = max(ranks.values(), default=-1) + 1
         tokens = [b""] * self.size
@@ -198,11 +200,14 @@ class Encoder(dict):
         self.flat = np.frombuffer(b"".join(tokens), np.uint8)
 
     def __missing__(self, piece: bytes) -> bytes:
-        got = self.ranks.get(piece)
-        ids = [got] if got is not None else self.merge(piece)
-        out = np.array(ids, "<u4").tobytes()
+        out = self.older.get(piece)
+        if out is None:
+            got = self.ranks.get(piece)
+            ids = [got] if got is not None else self.merge(piece)
+            out = pack(f"<{len(ids)}I", *ids)
         if len(piece) <= CACHED_BYTES:
-            if len(self) >= CACHED:
+            if len(self) >= CACHED:  # what was used since the last turn stays at hand for one more
+                self.older = dict(self)
                 self.clear()
             self[piece] = out
         return out
