@@ -10,13 +10,11 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.paths import is_definition
 from lodestone.functions.text import ascii_lower, lines, tokens
 
 from .index import FIELDS
 
 K1, B = 1.2, 0.75
-DEFINITION_FACTOR = 2.0
 PATH_SCORE = 100.0
 #: Rows of a ranked list that are kept for each query.
 CANDIDATES = 500
@@ -37,30 +35,31 @@ def variant_terms(queries: DataFrame) -> DataFrame:
 
 
 def matching_postings(fields: DataFrame, terms: DataFrame) -> DataFrame:
-    """(field, term, chunk_id, tf, length) of the asked terms only: other tokens are dropped before the shuffle."""
+    """(field, term, chunk_id, boost, tf, length) of the asked terms only: other tokens are dropped before the shuffle."""
     asked = terms.select("term").distinct()
-    each = fields.select("chunk_id", "field", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
-    return each.join(asked, "term").groupBy("field", "term", "chunk_id", "length").agg(F.count("*").alias("tf"))
+    each = fields.select("chunk_id", "boost", "field", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
+    return each.join(asked, "term").groupBy("field", "term", "chunk_id", "boost", "length").agg(F.count("*").alias("tf"))
 
 
 def bm25(fields: DataFrame, terms: DataFrame, weights: dict[str, float] = FIELDS) -> DataFrame:
-    """(query_id, variant, chunk_id, score) of every chunk that has a term, over all fields by weight."""
+    """(query_id, variant, chunk_id, score) of every chunk that has a term, over all fields by weight.
+
+    ``fields`` has chunk_id, boost (a factor of the chunk's score), field and tokens.
+    """
     only = fields.where(F.col("field").isin(*weights))
     found = matching_postings(only, terms)
     stats = only.groupBy("field").agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean_length"))
     df = found.groupBy("field", "term").agg(F.count("*").alias("df"))
     factor = F.element_at(F.create_map(*[F.lit(x) for f, w in weights.items() for x in (f, w)]), F.col("field"))
     # one row for each field: bounded by the number of fields
-    scored = found.join(df, ["field", "term"]).join(F.broadcast(stats), "field").select("term", "chunk_id", (factor * term_score(F.col("tf"), F.col("length"), F.col("mean_length"), F.col("n"), F.col("df"))).alias("s"))
+    scored = found.join(df, ["field", "term"]).join(F.broadcast(stats), "field").select("term", "chunk_id", (F.col("boost") * factor * term_score(F.col("tf"), F.col("length"), F.col("mean_length"), F.col("n"), F.col("df"))).alias("s"))
     return scored.join(terms, "term").groupBy("query_id", "variant", "chunk_id").agg(F.sum("s").alias("score"))
 
 
-def lexical(fields: DataFrame, chunks: DataFrame, queries: DataFrame, limit: int = CANDIDATES) -> DataFrame:
-    """(query_id, chunk_id, score): the best variant's score, doubled for definitions; the first ``limit`` of each query."""
+def lexical(fields: DataFrame, queries: DataFrame, limit: int = CANDIDATES) -> DataFrame:
+    """(query_id, chunk_id, score): the best variant's score; the first ``limit`` of each query."""
     best = bm25(fields, variant_terms(queries)).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
-    kinds = chunks.select("chunk_id", "kind")
-    scored = best.join(kinds, "chunk_id").select("query_id", "chunk_id", (F.col("score") * F.when(is_definition("kind"), DEFINITION_FACTOR).otherwise(1.0)).alias("score"))
-    return first(scored, limit)
+    return first(best, limit)
 
 
 def first(scored: DataFrame, limit: int, order: tuple[str, ...] = ("chunk_id",)) -> DataFrame:
@@ -88,11 +87,11 @@ def phrase(fields: DataFrame, words: list[str], field: str = "text") -> DataFram
     return out
 
 
-def literal_chunks(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_id) of chunks that hold a variant of the query, in any case. The scan is exact."""
+def literal_chunks(chunks: DataFrame, queries: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, chunk_id, keep) of chunks that hold a variant of the query, in any case. The scan is exact."""
     asked = queries.select("query_id", F.transform("variants", ascii_lower).alias("lowered"))
-    low = chunks.select("chunk_id", ascii_lower("text").alias("low"))
-    return low.join(asked, F.exists("lowered", lambda v: F.contains(F.col("low"), v))).select("query_id", "chunk_id")
+    low = chunks.select("chunk_id", *keep, ascii_lower("text").alias("low"))
+    return low.join(asked, F.exists("lowered", lambda v: F.contains(F.col("low"), v))).select("query_id", "chunk_id", *keep)
 
 
 def matching_lines(files: DataFrame, test, keep: tuple[str, ...] = ("workspace_id", "file_path")) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.paths import authority, is_definition, is_test, kind_factor
 from lodestone.functions.text import ascii_lower, compact, lines
+from lodestone.storage import small
 
 # Constants of the ranking.
 RANK_OFFSET = 60
@@ -115,8 +116,11 @@ ORDER = ("file_path", "start_line", "end_line", "chunk_id")
 
 
 def rank_candidates(merged: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """Candidates with score after decay: one window counts a query's chunks of a file, another orders them."""
-    found = merged.join(chunks, "chunk_id").join(queries.select("query_id", "expanded", "low", "compact", "intent"), "query_id")
+    """Candidates with score after decay: one window counts a query's chunks of a file, another orders them.
+
+    The candidates, a bounded number for each query, go to the chunks, so that no other chunk's text is shuffled.
+    """
+    found = chunks.join(small(merged), "chunk_id").join(queries.select("query_id", "expanded", "low", "compact", "intent"), "query_id")
     counted = found.withColumn("n_file", F.count("*").over(Window.partitionBy("query_id", "workspace_id", "file_path")))
     has = F.array_contains("sources", "literal")
     only = ~F.arrays_overlap("sources", F.array(F.lit("lexical"), F.lit("literal")))

@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.paths import is_definition
 from lodestone.functions.text import embedding_alias, md5_number, raw_words, singular, tokens, variants
 
 #: Fields that are tokenized, and their weights in ranking.
 FIELDS = {"text": 1.0, "file_path": 5.0, "signature": 10.0}
 DIMENSIONS = 256
+#: What the lexical score of a definition is multiplied by.
+DEFINITION_BOOST = 2.0
 
 
-def tokenized(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, field, tokens) of every field of every chunk."""
+def tokenized(chunks: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(chunk_id, keep, boost, field, tokens) of every field of every chunk; definitions have a boost."""
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), tokens(f).alias("tokens")) for f in FIELDS])
-    return chunks.select("chunk_id", F.explode(pairs).alias("p")).select("chunk_id", "p.field", "p.tokens")
+    boost = F.when(is_definition("kind"), DEFINITION_BOOST).otherwise(1.0).alias("boost")
+    return chunks.select("chunk_id", *keep, boost, F.explode(pairs).alias("p")).select("chunk_id", *keep, "boost", "p.field", "p.tokens")
 
 
 def occurrences(fields: DataFrame) -> DataFrame:
@@ -37,24 +41,24 @@ def field_stats(lens: DataFrame) -> DataFrame:
     return lens.groupBy("field").agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
 
 
-def terms_of(chunks: DataFrame, text: str = "text") -> DataFrame:
-    """(chunk_id, term) of a text's embedding: every form of every word, singular or by synonym.
+def terms_of(chunks: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(chunk_id, keep, term) of a text's embedding: every form of every word, singular or by synonym.
 
     Words are exploded first, so that what is done to each runs as generated
     code and not once more for each use of it.
     """
-    words = chunks.select("chunk_id", F.explode(raw_words(text)).alias("word"))
-    forms = words.select("chunk_id", F.explode(variants(F.col("word"))).alias("form"))
-    return forms.withColumn("one", singular("form")).select("chunk_id", embedding_alias(F.col("one")).alias("term"))
+    words = chunks.select("chunk_id", *keep, F.explode(raw_words(text)).alias("word"))
+    forms = words.select("chunk_id", *keep, F.explode(variants(F.col("word"))).alias("form"))
+    return forms.withColumn("one", singular("form")).select("chunk_id", *keep, embedding_alias(F.col("one")).alias("term"))
 
 
-def hash_vectors(chunks: DataFrame, text: str = "text", dimensions: int = DIMENSIONS) -> DataFrame:
-    """(chunk_id, bucket, weight): sparse rows of length 1. Signed feature hashing; partial sums are made before the shuffle."""
+def hash_vectors(chunks: DataFrame, text: str = "text", dimensions: int = DIMENSIONS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(chunk_id, keep, bucket, weight): sparse rows of length 1. Signed feature hashing; partial sums are made before the shuffle."""
     h = md5_number(F.col("term"))
-    signs = terms_of(chunks, text).select("chunk_id", F.pmod(h, F.lit(dimensions)).alias("bucket"), F.when(F.shiftright(h, 16).bitwiseAND(1) == 0, 1).otherwise(-1).alias("sign"))
-    sums = signs.groupBy("chunk_id", "bucket").agg(F.sum("sign").alias("total")).where("total <> 0")
+    signs = terms_of(chunks, text, keep).select("chunk_id", *keep, F.pmod(h, F.lit(dimensions)).alias("bucket"), F.when(F.shiftright(h, 16).bitwiseAND(1) == 0, 1).otherwise(-1).alias("sign"))
+    sums = signs.groupBy("chunk_id", *keep, "bucket").agg(F.sum("sign").alias("total")).where("total <> 0")
     norm = F.sqrt(F.sum(F.col("total") * F.col("total")).over(Window.partitionBy("chunk_id")).cast("double"))
-    return sums.select("chunk_id", "bucket", (F.col("total") / norm).alias("weight"))
+    return sums.select("chunk_id", *keep, "bucket", (F.col("total") / norm).alias("weight"))
 
 
 def dense(sparse: DataFrame, key: str = "chunk_id", dimensions: int = DIMENSIONS) -> DataFrame:
@@ -74,13 +78,14 @@ def pending(chunks: DataFrame, vectors: DataFrame, key: str = "vector_key") -> D
     return chunks.join(vectors.select(key), key, "left_anti")
 
 
-def write(chunks: DataFrame, path: str, buckets: int = 64) -> None:
-    """Write the index tables below ``path``: postings are sorted by term in files by the term's bucket, so a query reads few row groups."""
-    fields = tokenized(chunks)
-    chunks.write.mode("overwrite").parquet(f"{path}/chunks")
+def write(chunks: DataFrame, path: str, keep: tuple[str, ...], buckets: int = 64) -> None:
+    """Write index tables below ``path``. Tokens and vectors carry the columns that searches filter by; postings are
+    sorted by term in files by the term's bucket, so a lookup reads few row groups."""
+    fields = tokenized(chunks, keep)
+    fields.write.mode("overwrite").parquet(f"{path}/fields")
+    hash_vectors(chunks, keep=keep).write.mode("overwrite").parquet(f"{path}/vectors")
     posted = postings(fields).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)))
     posted.repartition("bucket", "field").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     lens = lengths(fields)
     lens.write.mode("overwrite").parquet(f"{path}/lengths")
     field_stats(lens).write.mode("overwrite").parquet(f"{path}/stats")
-    hash_vectors(chunks).write.mode("overwrite").parquet(f"{path}/vectors")

@@ -23,12 +23,15 @@ def snapshot_by_time(files: DataFrame) -> DataFrame:
 def root_hash(snap: DataFrame) -> DataFrame:
     """(workspace_id, root_hash, n_files), whatever the order of the rows.
 
-    Files are hashed by their path's first two hash digits first, so that no
-    task gathers all files of a workspace: 256 strings are left for the root.
+    A tree over the paths' hash digits: files by the first four, these by the
+    first two, these for the root, so that no task gathers all files of a
+    workspace.
     """
-    part = F.substring(F.md5("file_path"), 1, 2)
-    leaves = snap.groupBy("workspace_id", part.alias("part")).agg(F.md5(F.array_join(F.array_sort(F.collect_list(F.concat("file_path", "file_hash"))), "")).alias("h"), F.count("*").alias("n"))
-    return leaves.groupBy("workspace_id").agg(F.md5(F.array_join(F.array_sort(F.collect_list(F.concat("part", "h"))), "")).alias("root_hash"), F.sum("n").alias("n_files"))
+    level = snap.select("workspace_id", F.substring(F.md5("file_path"), 1, 4).alias("part"), F.concat("file_path", "file_hash").alias("leaf"), F.lit(1).cast("bigint").alias("n"))
+    for digits in (2, 0):
+        nodes = level.groupBy("workspace_id", "part").agg(F.md5(F.array_join(F.array_sort(F.collect_list("leaf")), "")).alias("h"), F.sum("n").alias("n"))
+        level = nodes.select("workspace_id", F.substring("part", 1, digits).alias("part") if digits else F.lit("").alias("part"), F.concat("part", "h").alias("leaf"), "n")
+    return level.groupBy("workspace_id").agg(F.md5(F.array_join(F.array_sort(F.collect_list("leaf")), "")).alias("root_hash"), F.sum("n").alias("n_files"))
 
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import ascii_lower, compact, singular, truncated
+from lodestone.storage import cut, small
 
 CONTEXT = 2
 # What a line counts for holding the query, in the same or another case, a token, or the squeezed query.
@@ -45,8 +46,11 @@ def hits(ranked: DataFrame, files: DataFrame, queries: DataFrame, context: int =
     """Ranked chunks to hits: snippet bounds around the focus line, preview and reason.
 
     ``files`` has workspace_id, file_path, lines. A chunk whose file is gone
-    shows its own text; one of an empty file shows nothing.
+    shows its own text; one of an empty file shows nothing. Only the hit files'
+    lines take part in the join.
     """
+    ranked = cut(ranked)
+    files = files.join(small(ranked.select("workspace_id", "file_path").distinct()), ["workspace_id", "file_path"], "left_semi")
     q = queries.select("query_id", F.trim("query").alias("q"), F.col("low").alias("ql"), F.col("expanded").alias("qt"), singular(F.col("compact")).alias("qs"))
     j = ranked.join(files.select("workspace_id", "file_path", "lines"), ["workspace_id", "file_path"], "left").join(q, "query_id")
     gone, empty = F.col("lines").isNull(), F.size("lines") <= 0

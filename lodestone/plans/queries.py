@@ -132,7 +132,7 @@ bv AS (SELECT query_id, variant, chunk_id, sum(s) AS score FROM sc JOIN vt USING
 
 LEXICAL = f"""{CHUNKS},{_prepared(_BATCH)},{_bm25(index.FIELDS)},
 bq AS (SELECT query_id, chunk_id, max(score) AS score FROM bv GROUP BY ALL),
-bk AS (SELECT query_id, b.chunk_id, score * CASE WHEN {s.is_definition('kind')} THEN {cand.DEFINITION_FACTOR} ELSE 1.0 END AS score FROM bq b JOIN chunks c ON b.chunk_id = c.chunk_id),
+bk AS (SELECT query_id, b.chunk_id, score * CASE WHEN {s.is_definition('kind')} THEN {index.DEFINITION_BOOST} ELSE 1.0 END AS score FROM bq b JOIN chunks c ON b.chunk_id = c.chunk_id),
 lx AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bk) WHERE rank <= 500)"""
 
 _HASH = lambda key, text, source: f"""SELECT {key}, md5n % {index.DIMENSIONS} AS bucket, sum(CASE WHEN (md5n >> 16) & 1 = 0 THEN 1 ELSE -1 END) AS total
@@ -386,12 +386,12 @@ def syntax_chunks(spark, d):
 # ---- index and vectors ----
 
 
-@register("postings_build", sel(CHUNKS, """SELECT field, term, count(*) AS n_chunks, CAST(sum(tf) AS BIGINT) AS n_tokens, md5(string_agg(chunk_id || ':' || places, ';' ORDER BY chunk_id)) AS list_md5
+@register("postings_build", sel(CHUNKS, """SELECT field, term, count(*) AS n_chunks, CAST(sum(tf) AS BIGINT) AS n_tokens, CAST(sum(""" + s.md5_number("chunk_id || ':' || places") + """) AS BIGINT) AS mark
 FROM (SELECT field, term, chunk_id, count(*) AS tf, string_agg(position - 1, ',' ORDER BY position) AS places FROM oc GROUP BY ALL) GROUP BY ALL"""))
 def postings_build(spark, d):
     posted = index.postings(index.tokenized(_chunks(spark, d)))
     one = F.concat("chunk_id", F.lit(":"), F.array_join(F.col("positions").cast("array<string>"), ","))
-    return posted.groupBy("field", "term").agg(F.count("*").alias("n_chunks"), F.sum("tf").alias("n_tokens"), F.md5(F.array_join(F.array_sort(F.collect_list(one)), ";")).alias("list_md5"))
+    return posted.groupBy("field", "term").agg(F.count("*").alias("n_chunks"), F.sum("tf").alias("n_tokens"), F.sum(ft.md5_number(one)).alias("mark"))
 
 
 @register("hash_embed", sel(CHUNKS + "," + _vectors("hv", "chunk_id", "text", "chunks"), "SELECT chunk_id, count(*) AS n_buckets, round(sum(weight * (bucket + 1)), 6) AS mark, round(max(weight), 6) AS most FROM hv GROUP BY chunk_id"))
@@ -483,14 +483,14 @@ oc AS (SELECT chunk_id, field, len(tokens) AS length, unnest(tokens) AS term FRO
 vt AS (SELECT item_id AS query_id, '' AS variant, unnest(list_distinct({s.tokens("coalesce(text, '')")})) AS term FROM benchmark),{_bm25({'text': 1.0})}""",
 f"SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bv) WHERE rank <= {TOP}"))
 def bm25_topk(spark, d):
-    docs = spread(table(spark, d, "documents").select("doc_id", "text")).select(F.col("doc_id").cast("string").alias("chunk_id"), F.lit("text").alias("field"), ft.tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).select(F.col("doc_id").cast("string").alias("chunk_id"), F.lit(1.0).alias("boost"), F.lit("text").alias("field"), ft.tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("").alias("variant"), F.explode(F.array_distinct(ft.tokens(F.coalesce("text", F.lit(""))))).alias("term"))
     return cand.first(cand.bm25(cut(docs), asked, {"text": 1.0}), TOP).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
 def _lexical(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     chunks, queries = cut(_chunks(spark, d)), _batch(spark)
-    return cand.lexical(cut(index.tokenized(chunks)), chunks, queries), chunks, queries
+    return cand.lexical(cut(index.tokenized(chunks)), queries), chunks, queries
 
 
 @register("bm25f_topk", sel(LEXICAL, f"SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM lx WHERE rank <= {TOP}"))
@@ -706,8 +706,9 @@ def merkle_snapshot(spark, d):
     return maintain.snapshot(_older(spark, d))
 
 
-@register("merkle_root", sel(SNAPSHOTS, """, lf AS (SELECT workspace_id, substr(md5(file_path), 1, 2) AS part, md5(string_agg(file_path || file_hash, '' ORDER BY file_path || file_hash)) AS h, count(*) AS n FROM s1 GROUP BY ALL)
-SELECT workspace_id, md5(string_agg(part || h, '' ORDER BY part || h)) AS root_hash, CAST(sum(n) AS BIGINT) AS n_files FROM lf GROUP BY workspace_id"""))
+@register("merkle_root", sel(SNAPSHOTS, """, lf AS (SELECT workspace_id, substr(md5(file_path), 1, 4) AS part, md5(string_agg(file_path || file_hash, '' ORDER BY file_path || file_hash)) AS h, count(*) AS n FROM s1 GROUP BY ALL),
+lm AS (SELECT workspace_id, substr(part, 1, 2) AS part, md5(string_agg(part || h, '' ORDER BY part || h)) AS h, sum(n) AS n FROM lf GROUP BY workspace_id, substr(part, 1, 2))
+SELECT workspace_id, md5(string_agg(part || h, '' ORDER BY part || h)) AS root_hash, CAST(sum(n) AS BIGINT) AS n_files FROM lm GROUP BY workspace_id"""))
 def merkle_root(spark, d):
     return maintain.root_hash(maintain.snapshot(_older(spark, d)))
 

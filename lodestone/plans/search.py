@@ -69,7 +69,7 @@ class Lists:
 def candidate_lists(chunks: DataFrame, queries: DataFrame, o: Options, fields: DataFrame | None = None, vectors: DataFrame | None = None) -> Lists:
     fields = cut(index.tokenized(chunks)) if fields is None else fields
     vectors = index.hash_vectors(chunks) if vectors is None else vectors
-    lex = cut(cand.lexical(fields, chunks, queries, o.lexical_limit))
+    lex = cut(cand.lexical(fields, queries, o.lexical_limit))
     by_path = cand.by_path(fields, queries).join(lex.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
     per_query = Window.partitionBy("query_id")
     extra = by_path.withColumn("nth", F.row_number().over(per_query.orderBy("chunk_id"))).where(F.col("nth") <= o.path_limit)
@@ -77,7 +77,7 @@ def candidate_lists(chunks: DataFrame, queries: DataFrame, o: Options, fields: D
     lexical = both.withColumn("rank", F.row_number().over(per_query.orderBy("part", F.round("score", 9).desc(), "chunk_id"))).drop("part")
     asked = index.hash_vectors(queries.select(F.col("query_id").alias("chunk_id"), F.col("query").alias("text"))).withColumnRenamed("chunk_id", "query_id")
     semantic = cand.first(cand.sparse_cosine(asked, vectors).where(F.round("score", 9) > 0), o.semantic_limit)
-    placed = cand.literal_chunks(chunks, queries).join(chunks.select("chunk_id", "file_path", "start_line"), "chunk_id")
+    placed = cand.literal_chunks(chunks, queries, ("file_path", "start_line"))
     nth = F.row_number().over(per_query.orderBy("file_path", "start_line", "chunk_id"))
     literal = placed.withColumn("rank", nth).where(F.col("rank") <= o.literal_limit).select("query_id", "chunk_id", F.lit(1.0).alias("score"), "rank")
     return Lists(lexical, semantic, literal)
@@ -116,6 +116,10 @@ def literal_search(files: DataFrame, text: str, o: Options | None = None) -> Dat
     return rows.select("workspace_id", "file_path", (F.col("at") + 1).cast("bigint").alias("line_no"), F.array_join(F.slice("lines", lo + 1, hi - lo + 1), "\n").alias("preview"), F.lit(1.0).alias("score"))
 
 
+#: Columns that searches filter by; every index table has them.
+FILTERS = ("workspace_id", "file_path", "language", "is_ignored")
+
+
 class Index:
     """Index tables below a path: built once, searched many times."""
 
@@ -123,24 +127,17 @@ class Index:
         self.spark, self.path = spark, path.rstrip("/")
 
     def build(self, files: DataFrame) -> Index:
-        keep = ("workspace_id", "file_path", *(["is_ignored"] if "is_ignored" in files.columns else []))
-        chunk_files(files, keep).write.mode("overwrite").parquet(f"{self.path}/chunks")
-        chunks = self.chunks()
-        index.tokenized(chunks).write.mode("overwrite").parquet(f"{self.path}/fields")
-        index.hash_vectors(chunks).write.mode("overwrite").parquet(f"{self.path}/vectors")
+        if "is_ignored" not in files.columns:
+            files = files.withColumn("is_ignored", F.lit(False))
+        chunk_files(files, ("workspace_id", "file_path", "is_ignored")).write.mode("overwrite").parquet(f"{self.path}/chunks")
+        index.write(self._table("chunks"), self.path, FILTERS)
         return self
 
     def _table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
-    def chunks(self) -> DataFrame:
-        return self._table("chunks")
-
     def search(self, texts: list[str], o: Options | None = None) -> DataFrame:
-        """(query_id, file_path, ..., score) of the best chunks of each query."""
+        """(query_id, file_path, ..., score) of the best chunks of each query. The filters reach the scans of all tables."""
         o = o or Options()
-        chunks, queries = restricted(self.chunks(), o), query_table(self.spark, texts)
-        ids = chunks.select("chunk_id")
-        open_ = not (o.include or o.exclude or o.scope or o.type_filter) and o.with_ignored
-        some = (lambda t: t) if open_ else (lambda t: t.join(ids, "chunk_id", "left_semi"))
-        return ranked(chunks, queries, o, fields=some(self._table("fields")), vectors=some(self._table("vectors")))
+        tables = {name: restricted(self._table(name), o) for name in ("fields", "vectors")}
+        return ranked(restricted(self._table("chunks"), o), query_table(self.spark, texts), o, **tables)
