@@ -35,10 +35,13 @@ def variant_terms(queries: DataFrame) -> DataFrame:
 
 
 def matching_postings(fields: DataFrame, terms: DataFrame) -> DataFrame:
-    """(field, term, chunk_id, boost, tf, length) of the asked terms only: other tokens are dropped before the shuffle."""
+    """(field, term, chunk_id, boost, tf, length) of the asked terms only: other tokens are dropped before the shuffle.
+
+    That one goes by chunk, so counts, scores and their sums for each query need no further one.
+    """
     asked = terms.select("term").distinct()
     each = fields.select("chunk_id", "boost", "field", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
-    return each.join(asked, "term").groupBy("field", "term", "chunk_id", "boost", "length").agg(F.count("*").alias("tf"))
+    return each.join(asked, "term").repartition("chunk_id").groupBy("field", "term", "chunk_id", "boost", "length").agg(F.count("*").alias("tf"))
 
 
 def bm25(fields: DataFrame, terms: DataFrame, weights: dict[str, float] = FIELDS) -> DataFrame:
