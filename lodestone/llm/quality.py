@@ -21,7 +21,7 @@ from .textscan import map_texts, release, share
 #: Bound of the rows that a model is fitted on, for each of the two labels.
 ROWS_PER_LABEL = 700
 #: Longest text that is learned from (every text is scored whole).
-LEARN_CHARS = 1_000_000
+LEARN_CHARS = 100_000
 
 
 def folded(cps: np.ndarray) -> np.ndarray:
