@@ -46,10 +46,14 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays, once."""
+    """Of each group of near-duplicates the document with the smallest id stays, once.
+
+    Near are documents whose five-word shingles have a Jaccard similarity of 0.8 or
+    more, found exactly, and those whose fingerprints differ in three bits at most.
+    """
     # rows of one id are told apart by their text; rows equal in both are one
     named = docs.withColumn("__th", F.xxhash64("text"))
-    found = cut(simhash.near_duplicates(named, keep=("__th",)).select("doc_id", "__th", "component_id"))
+    found = cut(simhash.near_duplicates(named, keep=("__th",), shingle=5, similarity=0.8).select("doc_id", "__th", "component_id"))
     key = [F.col("doc_id").alias("__id"), F.col("__th").alias("__gone")]
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__th").eqNullSafe(F.col("__gone"))
     dropped = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*key).distinct()

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from lodestone.storage import cut
 
+from . import overlap
 from .components import components
 from .textscan import U64, map_texts, utf8
 
@@ -268,11 +269,24 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     return links.unionByName(dense.select("a", "b"))
 
 
-def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, fp, component_id) of every row, and its columns ``keep``."""
-    docs = cut(fingerprints(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *keep), keep=["doc_id", *keep]))
+def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = (), shingle: int | None = None, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, fp, component_id) of every row, and its columns ``keep``.
+
+    With ``shingle``, texts are linked too whose sets of that many words have at
+    least that Jaccard similarity, however many bits their fingerprints differ in.
+    """
+    texts = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *keep)
+    named = texts.withColumn("__node", F.xxhash64("text"))
+    docs = cut(fingerprints(named, keep=["doc_id", "__node", *keep]))
     each = cut(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
-    roots = components(fingerprint_links(each))
+    links = fingerprint_links(each)
+    if shingle is not None:
+        alike = cut(overlap.similar_links(named, node="__node", words=shingle, least=similarity))
+        ends = cut(alike.select(F.explode(F.array("a", "b")).alias("__node")).distinct())
+        of = cut(docs.select("__node", "fp").join(ends, "__node", "left_semi").distinct())
+        a, b = (of.select(F.col("__node").alias(c), F.col("fp").alias(f"{c}_fp")) for c in ("a", "b"))
+        links = links.unionByName(alike.join(a, "a").join(b, "b").select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b")))
+    roots = components(links)
     joined = each.join(roots, each["fp"] == roots["node"], "left")
     grouped = cut(joined.where("root is not null").select("fp", "root", "least"))
     whole = cut(grouped.groupBy("root").agg(F.min("least").alias("component_id")))
