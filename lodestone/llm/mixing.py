@@ -75,6 +75,8 @@ def calibrated(w: np.ndarray, tokens: np.ndarray, budget: float) -> np.ndarray:
     goal = budget * tokens.sum()
     factor = 0.0
     for j in range(len(t)):
+        if ratio[order[j]] == 0:  # no weight is left before the goal is met: all that has some is held at one
+            return np.where(ratio > 0, 1.0, 0.0)
         factor = (goal - held[j]) / rest[j] if rest[j] > 0 else 0.0
         if ratio[order[j]] * factor <= 1:
             break
@@ -124,7 +126,7 @@ def _frames(cells: DataFrame, temper: dict, targets: dict, budget: float, rounds
     ratio = F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens"))
     now = cut(now.withColumn("ratio", ratio))
     # the factor grows monotonically with the tokens expected: bisect on it
-    low, high = 0.0, float((now.agg(F.max(1 / F.col("ratio"))).first()[0] or 1.0))
+    low, high = 0.0, float((now.agg(F.max(F.when(F.col("ratio") > 0, 1 / F.col("ratio")))).first()[0] or 1.0))
     for _ in range(60):
         mid = (low + high) / 2
         expected = now.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("ratio") * F.lit(mid)))).first()[0] or 0.0

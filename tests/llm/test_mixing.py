@@ -50,3 +50,10 @@ def test_odd_rows(spark):
     assert len({r["sampled"] for r in got if r["doc_id"] == 3}) == 1
     assert all(0 <= r["probability"] <= 1 for r in got)
     assert mixing.mix(df.limit(0)).count() == 0
+
+
+def test_wanted_cells_below_the_budget_are_held_at_one(spark):
+    assert mixing.calibrated(np.array([100.0, 0.0]), np.array([10, 90]), 0.6).tolist() == [1.0, 0.0]
+    for most in (mixing.DRIVER_CELLS, 0):
+        got = mixing.mix(corpus(spark), targets={"lang": {"de": 1.0, "en": 0.0}}, rounds=2, driver_cells=most).collect()
+        assert {(r["lang"] == "de", r["probability"]) for r in got} == {(True, 1.0), (False, 0.0)}, most
