@@ -25,7 +25,7 @@ def main(argv: list[str] | None = None) -> int:
     s.add_argument("--include", default="")
     s.add_argument("--exclude", default="")
     s.add_argument("--type", dest="type_filter")
-    s.add_argument("--limit", type=int, default=50)
+    s.add_argument("--limit", type=int)
     s.add_argument("--context", type=int, default=2)
     s.add_argument("--with-ignored", action="store_true")
     s.add_argument("--files-only", action="store_true")
@@ -38,6 +38,8 @@ def main(argv: list[str] | None = None) -> int:
             print(json.dumps(handle(w, json.loads(line))), flush=True)
         return 0
     request = {k: v for k, v in vars(a).items() if k not in ("root", "store", "files_only")}
+    if a.command == "search":
+        request |= {"file_names": a.files_only, "limit": 50 if a.limit is None and not a.files_only else a.limit}
     if a.command == "search" and scope is not None:
         request |= {"scope": scope, "scope_is_file": (Path(root) / scope).is_file()}
     answer = handle(w, request)

@@ -59,16 +59,21 @@ def bm25(fields: DataFrame, terms: DataFrame, weights: dict[str, float] = FIELDS
     return scored.join(terms, "term").groupBy("query_id", "variant", "chunk_id").agg(F.sum("s").alias("score"))
 
 
-def lexical(fields: DataFrame, queries: DataFrame, limit: int = CANDIDATES) -> DataFrame:
+def lexical(fields: DataFrame, queries: DataFrame, limit: int | None = CANDIDATES) -> DataFrame:
     """(query_id, chunk_id, score): the best variant's score; the first ``limit`` of each query."""
     best = bm25(fields, variant_terms(queries)).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
     return first(best, limit)
 
 
-def first(scored: DataFrame, limit: int, order: tuple[str, ...] = ("chunk_id",)) -> DataFrame:
+def within(rank: str, limit: int | None) -> Column:
+    """Whether a rank is within a limit; None is no limit."""
+    return F.lit(True) if limit is None else F.col(rank) <= limit
+
+
+def first(scored: DataFrame, limit: int | None, order: tuple[str, ...] = ("chunk_id",)) -> DataFrame:
     """The best ``limit`` rows of each query by score (to nine places), with rank from 1; ties by ``order``."""
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), *order)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    return scored.withColumn("rank", F.row_number().over(w)).where(within("rank", limit))
 
 
 def by_path(fields: DataFrame, queries: DataFrame) -> DataFrame:

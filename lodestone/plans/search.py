@@ -33,6 +33,11 @@ class Options:
     path_limit: int = 100
     semantic_limit: int = 200
     literal_limit: int = 500
+    file_names: bool = False  # only names are asked for: every matching file counts
+
+    def budget(self, least: int) -> int | None:
+        """Candidates of a list that has ``least`` up to 50 files: in proportion beyond, all without a limit or for names."""
+        return None if self.limit is None or self.file_names else max(least, least * self.limit // 50)
 
 
 def restricted(chunks: DataFrame, o: Options) -> DataFrame:
@@ -69,17 +74,17 @@ class Lists:
 def candidate_lists(chunks: DataFrame, queries: DataFrame, o: Options, fields: DataFrame | None = None, vectors: DataFrame | None = None) -> Lists:
     fields = cut(index.tokenized(chunks)) if fields is None else fields
     vectors = index.hash_vectors(chunks) if vectors is None else vectors
-    lex = cut(cand.lexical(fields, queries, o.lexical_limit))
+    lex = cut(cand.lexical(fields, queries, o.budget(o.lexical_limit)))
     by_path = cand.by_path(fields, queries).join(lex.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
     per_query = Window.partitionBy("query_id")
-    extra = by_path.withColumn("nth", F.row_number().over(per_query.orderBy("chunk_id"))).where(F.col("nth") <= o.path_limit)
+    extra = by_path.withColumn("nth", F.row_number().over(per_query.orderBy("chunk_id"))).where(cand.within("nth", o.budget(o.path_limit)))
     both = lex.select("query_id", "chunk_id", "score", F.lit(0).alias("part")).unionByName(extra.select("query_id", "chunk_id", F.lit(cand.PATH_SCORE).alias("score"), F.lit(1).alias("part")))
     lexical = both.withColumn("rank", F.row_number().over(per_query.orderBy("part", F.round("score", 9).desc(), "chunk_id"))).drop("part")
     asked = index.hash_vectors(queries.select(F.col("query_id").alias("chunk_id"), F.col("query").alias("text"))).withColumnRenamed("chunk_id", "query_id")
-    semantic = cand.first(cand.sparse_cosine(asked, vectors).where(F.round("score", 9) > 0), o.semantic_limit)
+    semantic = cand.first(cand.sparse_cosine(asked, vectors).where(F.round("score", 9) > 0), o.budget(o.semantic_limit))
     placed = cand.literal_chunks(chunks, queries, ("file_path", "start_line"))
     nth = F.row_number().over(per_query.orderBy("file_path", "start_line", "chunk_id"))
-    literal = placed.withColumn("rank", nth).where(F.col("rank") <= o.literal_limit).select("query_id", "chunk_id", F.lit(1.0).alias("score"), "rank")
+    literal = placed.withColumn("rank", nth).where(cand.within("rank", o.budget(o.literal_limit))).select("query_id", "chunk_id", F.lit(1.0).alias("score"), "rank")
     return Lists(lexical, semantic, literal)
 
 

@@ -133,3 +133,11 @@ def test_index_on_disk_gives_the_same_ranking(spark, tmp_path):
     chunks = chunking.chunk_files(files)
     want = {(r["file_path"], r["start_line"], round(r["score"], 9)) for r in search.ranked(chunks, search.query_table(spark, ["total tax"]), search.Options()).collect()}
     assert got == want and got
+
+
+def test_budgets_grow_with_the_limit_and_end_without_one(spark):
+    files = repo(spark, {f"f{i:04}.txt": f"needle number {i}" for i in range(520)})
+    chunks, queries = chunking.chunk_files(files, ("workspace_id", "file_path")).localCheckpoint(), search.query_table(spark, ["needle"])
+    for o, n in ((search.Options(), 500), (search.Options(limit=52), 520), (search.Options(limit=None), 520), (search.Options(file_names=True), 520)):
+        got = search.candidate_lists(chunks, queries, o)
+        assert (got.literal.count(), got.lexical.count()) == (n, n)
