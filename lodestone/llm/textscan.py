@@ -66,6 +66,14 @@ def blocks(off: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int]
         lo = hi
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with underscores added until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fields_of(spec: str) -> list[T.StructField]:
     """Fields of a DDL string."""
     return list(T.StructType.fromDDL(spec).fields)
@@ -83,7 +91,7 @@ def map_texts(
     added = fields_of(new)
     names = {f.name.lower() for f in added}
     keep = [c for c in keep if c.lower() not in names]
-    carry = "__text__"
+    carry = unused(keep, "__text__")
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(carry))
     schema = T.StructType([source.schema[c] for c in keep] + added)
     out_names = [f.name for f in schema.fields]

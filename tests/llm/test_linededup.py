@@ -1,4 +1,5 @@
 import random
+import time
 
 from lodestone.llm import linededup
 
@@ -46,3 +47,29 @@ def test_a_passage_shared_by_many_documents(spark):
     rows = [(i, f"head {i}\np\nq\nr\ns\ntail {i}") for i in range(400)]
     got = {r["doc_id"]: r["text"] for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()}
     assert got[0] == rows[0][1] and all(got[i] == f"head {i}\ntail {i}" for i in range(1, 400))
+
+
+def test_a_very_long_text_takes_linear_time(spark):
+    text = "\n".join(f"line {i} of a long text" for i in range(50_000))
+    df = spark.createDataFrame([(1, text), (2, text + "\nend"), (3, "a\nb\nc")], "doc_id long, text string")
+    linededup.dedup(df.limit(1)).collect()
+    began = time.time()
+    got = {r["doc_id"]: r for r in linededup.dedup(df).collect()}
+    assert time.time() - began < 10
+    assert got[1]["text"] == text and (got[2]["text"], got[2]["n_lines"], got[2]["n_removed"]) == ("end", 50_001, 50_000) and got[3]["n_removed"] == 0
+
+
+def test_columns_named_as_helpers_stay(spark):
+    names = ["__id", "__th", "__starts", "__lines", "__gone", "id", "th", "pos", "row", "__sieve_row", "__sieve_bits"]
+    rows = [(i, "p\nq\nr" + "\ns" * (i % 2), *[f"{n}{i}" for n in names]) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = linededup.dedup(df).collect()
+    assert len(got) == 6 and all(r[n] == f"{n}{r['doc_id']}" for r in got for n in names)
+
+
+def test_a_full_sieve_loses_nothing(spark, monkeypatch):
+    rows = [(i, f"h{i}\np\nq\nr" if i % 3 else f"h{i}\nx{i}\ny{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(tuple(r) for r in linededup.dedup(df).collect())
+    monkeypatch.setattr(linededup.sieve.apart, "__defaults__", (1 << 15,))
+    assert sorted(tuple(r) for r in linededup.dedup(df).collect()) == want
