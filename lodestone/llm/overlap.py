@@ -1,13 +1,21 @@
 """Pairs of texts whose sets of word shingles have at least a given Jaccard similarity, found exactly.
 
 Two sets of similarity t or more share one of their first n - ceil(t n) + 1
-members in any order that both are sorted by. Members are sorted by hash, but
-common ones, counted among such first members by hash, stand last, so that a
-passage that many texts quote makes no list of them unless they consist of such
-passages. Texts that meet in a list are compared to the list's smallest and
-largest member; only what these links leave in different components is paired
-further. Every link is verified on the whole sets, which only texts of such
-pairs give. Nothing is capped.
+members, in any order that both are sorted by. The better rare members come
+first, the fewer sets meet. So the members in the lowest ``DOMAIN`` of all
+hashes are counted, and the order is: those that occur once, those that occur
+some times, those not counted, and the common ones; by hash within each. Members
+that occur once meet nothing and aren't listed at all. What is known of the
+counts goes to the tasks in two bitmaps of fixed size: a wrong bit changes the
+order, which is the same for all texts, and never a result.
+
+Texts that meet in a list of a member are first compared to one of it, chosen
+by hash anew in each list. Only what these links leave in different components
+is paired further, within blocks of bounded size. A pair is given up when what
+is left behind the shared member in both sets can't reach the similarity, or
+when their parity sketches differ in more bits than so similar sets can differ
+in members; both are proofs, no estimates. Every other pair is verified on the
+whole sets, which only texts of such pairs give. Nothing is capped.
 
 Equal sets are one node. Texts without a word have an empty set and no link.
 """
@@ -19,15 +27,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.storage import cut, small
+from lodestone.storage import cut
 
+from . import sieve
 from .components import components
 from .textscan import U64, map_texts, mixed, prefix_hash, slice_hash, utf8
 
 SHINGLE = 5
 LEAST = 0.8
-#: Shingles that count as common at most; one has more than that part of all members looked at first.
-HOT_KEYS = 1 << 20
+#: Part of the hash range whose members are counted.
+DOMAIN = 0.3
+#: A member is common if it occurs oftener than this, and than a HOT_KEYS-th of all counted: so at most HOT_KEYS are.
+HOT_TIMES, HOT_KEYS = 64, 1 << 20
+SHARED_BITS, HOT_BITS = 1 << 26, 1 << 24
+#: 64-bit words of a parity sketch.
+SKETCH = 8
+#: Rows of a list that are compared among themselves in one place; a longer list is dealt into blocks.
+BLOCK = 4096
+#: Lists up to this length are compared across all lists of a batch at once.
+SHORT = 48
 
 
 def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,75 +83,225 @@ def prefixes(n: np.ndarray, least: float) -> np.ndarray:
     return np.where(n > 0, n - np.ceil(least * n - 1e-9).astype(np.int64) + 1, 0)
 
 
-def with_sets(df: DataFrame, text: str, keep: list[str], words: int, least: float | None, last: np.ndarray | None = None) -> DataFrame:
-    """Add sig, which tells sets apart, n, and the set, or if ``least`` is given its first members: by hash, those in ``last`` (sorted) last."""
-    handle = df.sparkSession.sparkContext.broadcast(np.zeros(0, np.int64) if last is None else last)
+def _signature(h: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """A number that tells sets apart."""
+    sums = np.concatenate([np.zeros(1, U64), np.cumsum(mixed(h), dtype=U64)])
+    return mixed(sums[off[1:]] - sums[off[:-1]]).view(np.int64)
+
+
+def sketches(h: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
+    """(docs, SKETCH) words: the parity of the members that fall on each bit. Sets differ in as many members as bits, at least."""
+    bits = SKETCH * 64
+    at = (mixed(h ^ U64(0x5851F42D4C957F2D)) & U64(bits - 1)).astype(np.int64)
+    odd = (np.bincount(doc * bits + at, minlength=docs * bits) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(docs, bits), axis=1, bitorder="little").view(np.int64)
+
+
+def _lists(values: np.ndarray, off: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(values))
+
+
+def counted(df: DataFrame, text: str, words: int) -> DataFrame:
+    """(key, times) of the members below the domain's bound that occur in several texts, cut."""
+    bound = U64(int(DOMAIN * 2**64))
 
     def make():
-        late = handle.value
+        def work(texts: pa.Array) -> list[pa.Array]:
+            h, off = shingle_sets(texts, words)
+            low = h < bound
+            at = np.concatenate([[0], np.cumsum(low)])[off]
+            return [_lists(h[low].view(np.int64), at)]
+
+        return work
+
+    keys = map_texts(df, text, [], "keys array<long>", make).select(F.explode("keys").alias("key"))
+    return cut(keys.groupBy("key").agg(F.count("*").alias("times")).where("times > 1"))
+
+
+def first_members(df: DataFrame, text: str, node: str, words: int, least: float, shared: np.ndarray, hot: np.ndarray) -> DataFrame:
+    """(node, sig, n, bits, keys, at): of each text its set's size and sketch, and the first members that others may
+    have too, with their places in the order."""
+    handle = df.sparkSession.sparkContext.broadcast((shared, hot))  # two bitmaps of fixed size
+    bound = U64(int(DOMAIN * 2**64))
+
+    def make():
+        shared, hot = handle.value
 
         def work(texts: pa.Array) -> list[pa.Array]:
             h, off = shingle_sets(texts, words)
             n = np.diff(off)
-            sums = np.concatenate([np.zeros(1, U64), np.cumsum(mixed(h), dtype=U64)])
-            sig = mixed(sums[off[1:]] - sums[off[:-1]])
-            h = h.view(np.int64)
-            if least is not None:
-                if len(late):
-                    found = late[np.minimum(np.searchsorted(late, h), len(late) - 1)] == h
-                    h = h[np.lexsort((found, np.repeat(np.arange(len(n)), n)))]
-                part = prefixes(n, least)
-                h = h[np.arange(len(h)) - np.repeat(off[:-1], n) < np.repeat(part, n)]
-                off = np.concatenate([[0], np.cumsum(part)])
-            members = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(h))
-            return [pa.array(sig.view(np.int64)), pa.array(n.astype(np.int64)), members]
+            docs = len(n)
+            doc = np.repeat(np.arange(docs), n)
+            low = h < bound
+            tier = np.where(low, np.where(sieve.holds(shared, h), np.where(sieve.holds(hot, h), 3, 1), 0), 2)
+            order = np.lexsort((h, tier, doc))
+            place = np.arange(len(h)) - off[doc]
+            use = (place < prefixes(n, least)[doc]) & (tier[order] > 0)
+            at = np.concatenate([[0], np.cumsum(use)])[off]
+            bits = _lists(sketches(h, doc, docs).ravel(), np.arange(docs + 1) * SKETCH)
+            return [pa.array(_signature(h, off)), pa.array(n.astype(np.int64)), bits, _lists(h[order][use].view(np.int64), at), _lists(place[use].astype(np.int32), at)]
 
         return work
 
-    return map_texts(df, text, keep, "sig long, n long, members array<long>", make)
+    return map_texts(df, text, [node], "sig long, n long, bits array<long>, keys array<long>, at array<int>", make)
 
 
-def _verified(pairs: DataFrame, whole: DataFrame, least: float) -> DataFrame:
-    """(a, b) of the pairs that are as similar as that; ``whole``: all sets."""
-    pairs = cut(pairs.distinct())
-    asked = small(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct())
-    sets = cut(whole.join(asked, "sig", "left_semi").dropDuplicates(["sig"]))
+def whole_sets(df: DataFrame, text: str, node: str, words: int) -> DataFrame:
+    """(node, sig, members) of each text."""
+
+    def make():
+        def work(texts: pa.Array) -> list[pa.Array]:
+            h, off = shingle_sets(texts, words)
+            return [pa.array(_signature(h, off)), _lists(h.view(np.int64), off)]
+
+        return work
+
+    return map_texts(df, text, [node], "sig long, members array<long>", make)
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, df: DataFrame, text: str, node: str, words: int, least: float) -> DataFrame:
+    """(a, b) of the pairs (cut) that are as similar as that; ``nodes`` (sig, a): a text's node for each set."""
+    if pairs.isEmpty():
+        return pairs
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    wanted = cut(nodes.select("sig", F.col("a").alias("wanted")).join(asked, "sig"))
+    near, _ = sieve.apart(df.select(node, text), F.col(node), wanted.select("wanted"))
+    found = whole_sets(near, text, node, words).join(wanted.select(F.col("wanted").alias(node), F.col("sig").alias("own")), node).where("sig = own")
+    sets = cut(found.groupBy("sig").agg(F.first("members").alias("members")))  # equal sets: any of them
     left, right = sets.select(F.col("sig").alias("a"), F.col("members").alias("x")), sets.select(F.col("sig").alias("b"), F.col("members").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     return cut(pairs.join(left, "a").join(right, "b").where(both >= F.lit(least) * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b"))
 
 
+def _may(least: float, a: dict, b: dict):
+    """Whether two rows of a list can be as similar as that: by what stands behind the shared member, and by their sketches."""
+    total = a["n"] + b["n"]
+    share = least / (1 + least)
+    behind = F.least(a["n"] - a["at"], b["n"] - b["at"]) >= F.lit(share) * total - 1e-9
+    apart = sum((F.bit_count(F.get(a["bits"], F.lit(i)).bitwiseXOR(F.get(b["bits"], F.lit(i)))) for i in range(SKETCH)), F.lit(0))
+    return behind & (apart <= F.lit(1 - 2 * share) * total + 1e-9)
+
+
+def _pairs_within(least: float):
+    """Pairs (a, b) of rows (list, block, other, mine, sig, n, at, root, bits) that stand in order of the first three.
+
+    A cell of one block has pairs of its rows; a cell of two has pairs of a row of
+    each. Only rows of different roots are paired.
+    """
+    share = least / (1 + least)
+
+    def able(n, at, root, bits, i, j):
+        total = n[i] + n[j]
+        ok = (root[i] != root[j]) & (np.minimum(n[i] - at[i], n[j] - at[j]) >= share * total - 1e-9)
+        i, j, total = i[ok], j[ok], total[ok]
+        near = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) <= (1 - 2 * share) * total + 1e-9
+        return i[near], j[near]
+
+    def settle(cols) -> list[np.ndarray]:
+        cell, mine, sig, n, at, root, bits = cols
+        out = []
+        starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
+        lengths = np.diff(np.append(starts, len(cell)))
+        place = np.repeat(starts + lengths, lengths) - np.arange(len(cell))  # rows from each to its cell's end
+        short = np.repeat(lengths <= SHORT, lengths)
+        for d in range(1, SHORT):
+            i = np.flatnonzero(short & (place > d))
+            if not len(i):
+                break
+            i, j = able(n, at, root, bits, i, i + d)
+            out.append(np.stack([sig[i], sig[j]], axis=1)[(mine[i] == 2) | (mine[i] != mine[j])])
+        for s, m in zip(starts[lengths > SHORT], lengths[lengths > SHORT], strict=True):
+            two = mine[s] != 2
+            rows = np.arange(s, s + m)
+            left, right = (rows[mine[rows] == 0], rows[mine[rows] == 1]) if two else (rows, rows)
+            step = max(1, (1 << 20) // max(1, len(right)))
+            for lo in range(0, len(left), step):
+                part = left[lo : lo + step]
+                grid = root[part][:, None] != root[right][None, :]
+                if not two:
+                    grid &= part[:, None] < right[None, :]
+                x, y = np.nonzero(grid)
+                i, j = able(n, at, root, bits, part[x], right[y])
+                out.append(np.stack([sig[i], sig[j]], axis=1))
+        return out
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            key = np.stack([batch.column(c).to_numpy() for c in range(3)], axis=1)
+            new = [
+                key, *[batch.column(c).to_numpy() for c in range(3, 8)],
+                np.concatenate([batch.column(8).flatten().to_numpy()]).reshape(len(key), SKETCH).view(U64),
+            ]
+            held = new if held is None else [np.concatenate([x, y]) for x, y in zip(held, new, strict=True)]
+            same = (held[0] == held[0][-1]).all(axis=1)
+            last = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
+            if last:
+                yield _emit(settle(_numbered([c[:last] for c in held])))
+                held = [c[last:] for c in held]
+        if held is not None:
+            yield _emit(settle(_numbered(held)))
+
+    return run
+
+
+def _numbered(cols: list[np.ndarray]) -> list[np.ndarray]:
+    """The three columns that tell cells apart replaced by one."""
+    key = cols[0]
+    new = np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]) if len(key) else np.zeros(0, bool)
+    return [np.cumsum(new), *cols[1:]]
+
+
+def _emit(parts: list[np.ndarray]) -> pa.RecordBatch:
+    pairs = np.concatenate(parts) if parts else np.zeros((0, 2), np.int64)
+    pairs = np.unique(np.sort(pairs, axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def remaining_pairs(lists: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """(a, b): pairs of rows of one list that may be similar and have different roots."""
+    placed = cut(lists.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").select("key", "sig", "n", "at", "bits", F.coalesce("root", "sig").alias("root")))
+    parted = cut(placed.groupBy("key").agg(F.min("root").alias("l"), F.max("root").alias("g"), F.count("*").alias("m")).where("l <> g").select("key", "m"))
+    blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
+    mine = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
+    rows = placed.join(parted, "key").withColumn("blocks", blocks).withColumn("mine", mine)
+    # a row of a list of several blocks goes to its own block and to the cells it forms with each other one
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    cells = rows.withColumn("with", other).select(
+        "key", F.least("mine", "with").cast("long").alias("block"), F.greatest("mine", "with").cast("long").alias("other"),
+        F.when(F.col("mine") == F.col("with"), 2).when(F.col("mine") < F.col("with"), 0).otherwise(1).cast("long").alias("side"),
+        "sig", "n", F.col("at").cast("long").alias("at"), "root", "bits",
+    )
+    dealt = cells.repartition("key", "block", "other").sortWithinPartitions("key", "block", "other")
+    return dealt.mapInArrow(_pairs_within(least), "a long, b long").distinct()
+
+
 def similar_links(df: DataFrame, text: str = "text", node: str = "fp", words: int = SHINGLE, least: float = LEAST) -> DataFrame:
     """(a, b): links between the nodes (long) of texts, which connect all pairs of at least that similarity."""
-    members = lambda sets: sets.select("sig", "n", F.explode("members").alias("key"))
-    times = cut(members(with_sets(df.select(text), text, [], words, least)).groupBy("key").agg(F.count("*").alias("times")).where("times > 1"))
-    bar = (times.agg(F.sum("times")).first()[0] or 0) // HOT_KEYS
-    hot = np.sort(times.where(F.col("times") > max(2, bar)).select("key").toArrow().column("key").to_numpy())
-    first = cut(with_sets(df.select(node, text), text, [node], words, least, hot).where("n > 0"))
-    owners = first.select("sig", F.col(node).alias("node"))
-    least_node = owners.groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("z"))
-    # equal sets of different nodes
-    equal = owners.join(cut(least_node.where("a <> z").select("sig", "a")), "sig").where("node <> a").select(F.col("node").alias("b"), "a").distinct()
-    shared = small(members(first).groupBy("key").agg(F.min("sig").alias("l"), F.max("sig").alias("g")).where("l <> g").select("key"))
-    lists = cut(members(first).join(shared, "key").select("key", "sig", "n").distinct())
-
-    whole = with_sets(df.select(text), text, [], words, None)
-    ends = lists.groupBy("key").agg(F.min(F.struct("sig", "n")).alias("l"), F.max(F.struct("sig", "n")).alias("g")).where("l.sig <> g.sig")
-    ends = cut(ends.select("key", F.explode(F.array("l", "g")).alias("c")))
-    met = lists.join(ends, "key").where("sig <> c.sig")
-    near = lambda x, y: F.least(x, y) >= F.lit(least) * F.greatest(x, y) - 1e-9
-    stars = met.where(near(F.col("n"), F.col("c.n"))).select(F.least("sig", "c.sig").alias("a"), F.greatest("sig", "c.sig").alias("b"))
-    links = _verified(stars, whole, least)
-    roots = components(links)
-    placed = lists.join(roots, F.col("sig") == F.col("node"), "left").select("key", "sig", "n", F.coalesce("root", "sig").alias("root"))
-    placed = cut(placed)
-    apart = cut(placed.groupBy("key").agg(F.min("root").alias("l"), F.max("root").alias("g")).where("l <> g").select("key"))
-    open_ = cut(placed.join(apart, "key"))
-    other = open_.select("key", F.col("sig").alias("sig2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-    rest = open_.join(other, "key").where((F.col("sig") < F.col("sig2")) & (F.col("root") != F.col("root2")) & near(F.col("n"), F.col("n2")))
-    rest = rest.select(F.col("sig").alias("a"), F.col("sig2").alias("b")).join(stars.select("a", "b").distinct(), ["a", "b"], "left_anti")
-    every = links.unionByName(_verified(rest, whole, least))
-    named = cut(least_node.select("sig", "a").join(every.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "sig", "left_semi"))
+    df = df.select(node, text)
+    times = counted(df, text, words)
+    bar = max(HOT_TIMES, (times.agg(F.sum("times")).first()[0] or 0) // HOT_KEYS)
+    shared = sieve.as_array(times.select("key"), SHARED_BITS)
+    hot = sieve.as_array(times.where(F.col("times") > bar).select("key"), HOT_BITS)
+    first = cut(first_members(df, text, node, words, least, shared, hot).where("n > 0"))
+    # equal sets are equal in all that was made of them: any row of them will do
+    sets = cut(first.groupBy("sig").agg(F.min(node).alias("a"), F.max(node).alias("z"), F.first(F.struct("n", "bits", "keys", "at")).alias("one")))
+    equal = first.select("sig", F.col(node).alias("b")).join(cut(sets.where("a <> z").select("sig", "a")), "sig").where("b <> a").select("a", "b").distinct()
+    listed = sets.select("sig", "one.n", "one.bits", F.explode(F.arrays_zip("one.keys", "one.at")).alias("p"))
+    lists = cut(listed.select(F.col("p.keys").alias("key"), "sig", "n", F.col("p.at").alias("at"), "bits"))
+
+    row = F.struct(F.xxhash64("key", "sig").alias("o"), "sig", "n", "at", "bits")
+    middle = cut(lists.groupBy("key").agg(F.min(row).alias("c"), F.count("*").alias("m")).where("m > 1").select("key", "c"))
+    met = lists.join(middle, "key").where(F.col("sig") != F.col("c.sig"))
+    fields = ("n", "at", "bits")
+    stars = met.where(_may(least, {f: F.col(f) for f in fields}, {f: F.col(f"c.{f}") for f in fields}))
+    stars = cut(stars.select(F.least("sig", "c.sig").alias("a"), F.greatest("sig", "c.sig").alias("b")).distinct())
+    nodes = sets.select("sig", "a")
+    links = _verified(stars, nodes, df, text, node, words, least)
+    open_lists = lists.join(middle.select("key"), "key", "left_semi")
+    rest = cut(remaining_pairs(open_lists, components(links), least).join(stars, ["a", "b"], "left_anti"))
+    every = links.unionByName(_verified(rest, nodes, df, text, node, words, least))
+    named = cut(nodes.join(every.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "sig", "left_semi"))
     of = lambda c: named.select(F.col("sig").alias(c), F.col("a").alias(f"{c}_node"))
     linked = every.join(of("a"), "a").join(of("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).where("a <> b")
-    return linked.unionByName(equal.select("a", "b"))
+    return linked.unionByName(equal)

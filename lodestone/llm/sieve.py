@@ -8,6 +8,7 @@ last, which costs a shuffle and no result. Null keys never pass.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,3 +37,18 @@ def apart(df: DataFrame, key: Column, keys: DataFrame, bits: int = BITS) -> tupl
     byte = F.conv(F.hex(F.substring(F.col(found), F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
     hit = F.coalesce(F.bit_get(byte, F.pmod(F.col(place), F.lit(8))) == 1, F.lit(False))
     return joined.where(hit).select(*[F.col(f"`{c}`") for c in df.columns]), joined.where(~hit).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def as_array(keys: DataFrame, bits: int = BITS) -> np.ndarray:
+    """The bitmap as bytes on the driver: ``bits`` / 8 of them, whatever the number of keys."""
+    out = np.zeros(bits // 8, np.uint8)
+    got = bitmap(keys, bits).toArrow()
+    for row, part in zip(got.column("row").to_pylist(), got.column("bits").to_pylist(), strict=True):
+        out[row * (ROW_BITS // 8) : (row + 1) * (ROW_BITS // 8)] = np.frombuffer(part, np.uint8)
+    return out
+
+
+def holds(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether the bit of each 64-bit hash is set in a table of ``as_array``."""
+    at = (h & np.uint64(len(table) * 8 - 1)).astype(np.int64)
+    return (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1

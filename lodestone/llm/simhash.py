@@ -66,14 +66,14 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(U64)[0])
 
 
-def fingerprints(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Add fp, the fingerprint's 64 bits as a signed long."""
+def fingerprints(df: DataFrame, text: str = "text", keep: list[str] | None = None, words: int = WORDS) -> DataFrame:
+    """Add fp, the fingerprint's 64 bits as a signed long, from shingles of so many words."""
 
     def make():
         def work(texts: pa.Array) -> list[pa.Array]:
             raw, off = utf8(texts)
             data = raw.tobytes()
-            found = [fingerprint(data[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            found = [fingerprint(data[a:b], words) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
             return [pa.array(np.array(found, U64).view(np.int64))]
 
         return work
@@ -272,12 +272,13 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = (), shingle: int | None = None, similarity: float = 0.8) -> DataFrame:
     """(doc_id, fp, component_id) of every row, and its columns ``keep``.
 
-    With ``shingle``, texts are linked too whose sets of that many words have at
-    least that Jaccard similarity, however many bits their fingerprints differ in.
+    With ``shingle``, fingerprints are made of shingles of that many words, and
+    texts are linked too whose sets of these have at least that Jaccard
+    similarity, however many bits their fingerprints differ in.
     """
     texts = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *keep)
     named = texts.withColumn("__node", F.xxhash64("text"))
-    docs = cut(fingerprints(named, keep=["doc_id", "__node", *keep]))
+    docs = cut(fingerprints(named, keep=["doc_id", "__node", *keep], words=shingle or WORDS))
     each = cut(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     links = fingerprint_links(each)
     if shingle is not None:

@@ -4,7 +4,9 @@ import random
 from itertools import combinations
 
 import corpus_pipeline as cp
+import numpy as np
 import pyarrow as pa
+import pytest
 
 from lodestone.llm import overlap
 
@@ -61,7 +63,10 @@ def roots(n, pairs):
     return [find(i) for i in range(n)]
 
 
-def test_links_connect_exactly_the_similar(spark):
+@pytest.mark.parametrize("changed", [{}, {"BLOCK": 9, "SHORT": 3, "HOT_TIMES": 4}, {"SHORT": 2, "DOMAIN": 0.9, "SHARED_BITS": 1 << 15, "HOT_BITS": 1 << 15}])
+def test_links_connect_exactly_the_similar(spark, monkeypatch, changed):
+    for name, value in changed.items():
+        monkeypatch.setattr(overlap, name, value)
     texts = corpus()
     sets = [shingles(t) for t in texts]
     want = roots(len(texts), [(i, j) for i, j in combinations(range(len(texts)), 2) if similarity(sets[i], sets[j]) >= 0.8])
@@ -70,6 +75,14 @@ def test_links_connect_exactly_the_similar(spark):
     assert got == want and len(set(want)) < len(texts) - 50
 
 
+def test_sketches_never_differ_in_more_bits_than_sets_in_members():
+    h, off = overlap.shingle_sets(pa.array(corpus(), pa.string()), 5)
+    n = np.diff(off)
+    bits = overlap.sketches(h, np.repeat(np.arange(len(n)), n), len(n)).view(np.uint64)
+    got = [set(h[a:b].tolist()) for a, b in zip(off[:-1], off[1:], strict=True)]
+    assert all(np.bitwise_count(bits[i] ^ bits[j]).sum() <= len(got[i] ^ got[j]) for i, j in combinations(range(len(n)), 2))
+
+
 def test_stage_drops_copies_of_five_word_similarity(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     left = cp.near_duplicates(spark, cp.lines(spark, docs, small), small).collect()

@@ -1,9 +1,11 @@
 import hashlib
+from itertools import combinations
 
 import corpus_pipeline as cp
 from test_linededup import plain as plain_lines
+from test_overlap import roots as connected
+from test_overlap import shingles, similarity
 from test_simhash import plain as plain_fingerprint
-from test_simhash import roots_of
 
 from lodestone.llm import mixing
 
@@ -28,8 +30,10 @@ def test_stages_equal_brute_force(spark, small, tmp_path):
     assert all(r["n_chars"] == len(r["text"]) for i, r in kept[1].items() if r["text"] != kept[0][i]["text"])
 
     ids = sorted(want)
-    roots = roots_of([plain_fingerprint(want[i]) for i in ids])
-    assert set(kept[2]) == {ids[r] for r in roots}
+    sets = [shingles(want[i]) for i in ids]
+    prints = [plain_fingerprint(want[i], 5) for i in ids]
+    near = [(i, j) for i, j in combinations(range(len(ids)), 2) if (prints[i] ^ prints[j]).bit_count() <= 3 or similarity(sets[i], sets[j]) >= 0.8]
+    assert set(kept[2]) == {ids[r] for r in connected(len(ids), near)}
 
     again = mixing.mix(spark.createDataFrame([(i, r["text"], r["lang"], r["source"]) for i, r in kept[2].items()], "doc_id long, text string, lang string, source string")).where("sampled").collect()
     assert set(kept[3]) == {r["doc_id"] for r in again}

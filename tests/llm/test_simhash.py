@@ -8,11 +8,11 @@ import xxhash
 from lodestone.llm import simhash
 
 
-def plain(text):
+def plain(text, size=3):
     words = (text or "").encode().lower().split()
     if not words:
         return 0
-    shingles = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [b" ".join(words)]
+    shingles = [b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)] or [b" ".join(words)]
     counts = [0] * 64
     for s in shingles:
         h = xxhash.xxh64_intdigest(s, 42)
