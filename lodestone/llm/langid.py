@@ -1,9 +1,12 @@
 """Language identification: averaged hashed subword embeddings, linear softmax, calibrated rejection.
 
 Defined results: a null text, an empty one and one without a letter are
-``und`` with score 0 and are rejected. Rows with a null language are not learned
-from. With no labelled row at all, every text is ``und``. Extra columns are
-kept; one that has the name of a result column is replaced.
+``und`` with score 0 and are rejected. Very long texts are learned from and
+scored whole. Rows with a null language are not learned from. Rows that repeat
+id, language and text are learned from once and scored alike; of equally likely
+languages the first by name is taken. With no labelled row at all, every text
+is ``und``; an empty table gives an empty one. Extra columns are kept; one that
+has the name of a result column is replaced.
 """
 
 from __future__ import annotations
@@ -17,14 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bag
-from .textscan import codepoints, map_texts, release, segment_sum, share, utf8
-
-#: Bound of the rows that a model is fitted on, for each language.
-ROWS_PER_LANGUAGE = 350
-#: Languages learned at most; the most frequent ones.
-LANGUAGES = 200
-#: Longest text that is learned from (every text is scored whole).
-LEARN_CHARS = 1_000_000
+from .sample import bounded
+from .textscan import codepoints, map_texts, release, segment_sum, utf8
+
+#: Bound of the rows that a model is fitted on, for each language, and for all together: with many languages each
+#: gives fewer rows, but one at least, so that every label value is learned.
+ROWS_PER_LANGUAGE, ROWS = 350, 2800
 #: Share of rightly identified calibration rows that rejection may cost.
 REJECTED_SHARE = 0.001
 
@@ -56,15 +57,15 @@ class LanguageModel:
     least: float  # calibrated probability below which a text is rejected
 
 
-def fit(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", learn: Column | None = None, rows_per_language: int = ROWS_PER_LANGUAGE) -> LanguageModel:
-    """Learn from a bounded sample of the rows with a language, ``rows_per_language`` of each or so."""
+def fit(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", learn: Column | None = None, rows_per_language: int = ROWS_PER_LANGUAGE, rows: int = ROWS) -> LanguageModel:
+    """Learn from a bounded sample of the rows with a language: ``rows_per_language`` of each, ``rows`` in all."""
     learn = F.lit(True) if learn is None else learn
-    rows = df.where(learn & F.col(lang).isNotNull())
-    counts = rows.groupBy(F.col(lang).alias("k")).count().orderBy(F.desc("count"), "k").limit(LANGUAGES).collect()
-    if not counts:
+    known = df.where(learn & F.col(lang).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("__label__"), F.col(text).alias("text"))
+    n_languages = known.agg(F.count_distinct("__label__")).first()[0]
+    if not n_languages:
         return LanguageModel(None, 0.0)
-    part = F.create_map(*[F.lit(x) for r in counts for x in (r["k"], min(1.0, rows_per_language / r["count"]))])
-    sample = rows.where(share(doc_id, "langid") < F.coalesce(part[F.col(lang)], F.lit(0.0))).where(F.char_length(text) <= LEARN_CHARS)
+    each = max(1, min(rows_per_language, rows // n_languages))
+    sample = bounded(known, "__label__", {}, each, "langid")
 
     def make():
         def work(texts: pa.Array) -> list[pa.Array]:
@@ -73,14 +74,13 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "do
 
         return work
 
-    named = sample.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("__label__"), F.col(text).alias("text"))
-    rows, names = bag.collected(map_texts(named, "text", ["doc_id", "__label__"], "ids array<int>, w array<float>", make), "__label__")
-    if not rows:
+    found, names = bag.collected(map_texts(sample, "text", ["doc_id", "__label__"], "ids array<int>, w array<float>", make), "__label__")
+    if not found:
         return LanguageModel(None, 0.0)
     classes = sorted(set(names))
     y = np.array([classes.index(n) for n in names], np.int64)
-    model, p, truth = bag.fit(rows, y, classes, balance=True)
-    del rows
+    model, p, truth = bag.fit(found, y, classes, balance=True)
+    del found
     release()
     right = np.sort(p.max(axis=1)[p.argmax(axis=1) == truth]) if len(p) else np.zeros(0)
     # the smallest confidence of right answers, but for a small share; never above one half

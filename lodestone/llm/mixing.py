@@ -12,11 +12,18 @@ count of them, are raked on the driver and broadcast back; beyond that the same
 rounds run as DataFrame operations. Defined results: a null source, language or
 topic is a category of its own, ``<null>``; documents without tokens have the
 probability of their cell; in a cell without tokens it is one. Repeated rows
-are sampled alike. Extra columns are kept, clashing result columns replaced.
+are sampled alike; very long texts are counted whole; an empty table gives an empty
+one. Categories without a target have none of the weight. If the categories that
+have some hold fewer tokens than the budget, they are kept whole, and a warning
+tells the budget missed; another one if the marginals are further from their
+targets than ``TOLERANCE`` after the rounds. Extra columns are kept, clashing
+result columns replaced.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +37,8 @@ DRIVER_CELLS = 200_000
 TEMPER = {"source": 0.7, "lang": 0.7, "topic": 0.9}
 #: Share of the tokens that the sample is to have.
 BUDGET = 0.6
+#: Share of all tokens by which a category may miss its target before a warning says so.
+TOLERANCE = 0.01
 SEED = "mix"
 DIMS = ("source", "lang", "topic")
 WORD = r"[^\x20\x09-\x0D]+"
@@ -83,6 +92,14 @@ def calibrated(w: np.ndarray, tokens: np.ndarray, budget: float) -> np.ndarray:
     return np.minimum(1.0, np.where(np.isinf(ratio), 1.0, ratio * factor))
 
 
+def _report(miss: float, expected: float, budget: float) -> None:
+    """Warn of targets that can't all be met."""
+    if miss > TOLERANCE:
+        warnings.warn(f"a marginal is {miss:.3f} of all tokens off its target after the last round", stacklevel=3)
+    if expected < budget - 1e-6:
+        warnings.warn(f"the categories with a target hold {expected:.3f} of all tokens, below the budget of {budget:.3f}", stacklevel=3)
+
+
 def tempered(shares: np.ndarray, power: float) -> np.ndarray:
     out = np.where(shares > 0, np.power(np.maximum(shares, 1e-300), power), 0)
     return out / out.sum() if out.sum() > 0 else out
@@ -98,7 +115,11 @@ def _driver(cells: DataFrame, temper: dict, targets: dict, budget: float, rounds
         goal = np.array([targets[d].get(n, 0.0) for n in names]) if d in targets else tempered(share, temper[d])
         keys.append(key)
         goals.append(goal / goal.sum() if goal.sum() > 0 else goal)
-    got["probability"] = calibrated(rake(keys, tokens, goals, rounds), tokens, budget)
+    w, total = rake(keys, tokens, goals, rounds), max(1.0, tokens.sum())
+    got["probability"] = calibrated(w, tokens, budget)
+    if tokens.sum() > 0:
+        miss = max(float(np.abs(np.bincount(k, w, minlength=len(g)) / total - g).max()) for k, g in zip(keys, goals, strict=True))
+        _report(miss, float((got["probability"] * tokens).sum() / total), budget)
     spark = cells.sparkSession
     return spark.createDataFrame(got[[*DIMS, "probability"]], "source string, lang string, topic string, probability double") if len(got) else spark.createDataFrame([], "source string, lang string, topic string, probability double")
 
@@ -123,14 +144,21 @@ def _frames(cells: DataFrame, temper: dict, targets: dict, budget: float, rounds
             factor = have.join(goal, d, "left").select(d, F.when(F.col("have") > 0, F.coalesce("g", F.lit(0.0)) / F.lit(norm) * float(total) / F.col("have")).otherwise(1.0).alias("f"))
             now = now.join(factor, d).withColumn("w", F.col("w") * F.col("f")).drop("f")
         now = cut(now)
+    miss = 0.0
+    for d in DIMS:
+        goal, norm = goals[d]
+        off = F.abs(F.col("have") / F.lit(float(max(1, total))) - F.coalesce("g", F.lit(0.0)) / F.lit(norm))
+        miss = max(miss, now.groupBy(d).agg(F.sum("w").alias("have")).join(goal, d, "left").agg(F.max(off)).first()[0] or 0.0)
     ratio = F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens"))
     now = cut(now.withColumn("ratio", ratio))
     # the factor grows monotonically with the tokens expected: bisect on it
-    low, high = 0.0, float((now.agg(F.max(F.when(F.col("ratio") > 0, 1 / F.col("ratio")))).first()[0] or 1.0))
+    low, high = 0.0, float((now.agg(F.max(F.when(F.col("ratio") > 0, F.try_divide(F.lit(1.0), F.col("ratio"))))).first()[0] or 1.0))
     for _ in range(60):
         mid = (low + high) / 2
         expected = now.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("ratio") * F.lit(mid)))).first()[0] or 0.0
         low, high = (mid, high) if expected < budget * total else (low, mid)
+    if total:
+        _report(miss, float(now.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("ratio") * F.lit(high)))).first()[0] or 0.0) / total, budget)
     return now.select(*DIMS, F.coalesce(F.least(F.lit(1.0), F.col("ratio") * F.lit(high)), F.lit(1.0)).alias("probability"))
 
 

@@ -2,10 +2,12 @@
 
 Letter case and punctuation are kept, digits are folded to one, and a word that
 equals the one before it has a bucket of its own. Defined results: null and
-empty texts are scored like any text (without features: the calibrated prior).
-With no labelled row, every score is 0.5. Labels whose value is null, or whose
-document is missing, are not learned from; a document labelled twice counts
-twice. Extra columns are kept, clashing ones replaced.
+empty texts are learned from and scored like any text (without features: the
+calibrated prior); very long ones whole, in both. Repeated rows are learned from
+once and scored alike. With no labelled row, every score is 0.5; an empty table
+gives an empty one. Labels whose value is null, or whose document is missing,
+are not learned from; a document with both labels counts for each. Extra columns
+are kept, clashing ones replaced.
 """
 
 from __future__ import annotations
@@ -16,12 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bag
-from .textscan import map_texts, release, share
+from .sample import labelled
+from .textscan import map_texts, release
 
 #: Bound of the rows that a model is fitted on, for each of the two labels.
 ROWS_PER_LABEL = 700
-#: Longest text that is learned from (every text is scored whole).
-LEARN_CHARS = 100_000
 
 
 def folded(cps: np.ndarray) -> np.ndarray:
@@ -30,28 +31,10 @@ def folded(cps: np.ndarray) -> np.ndarray:
     return np.where((out >= 9) & (out <= 13), np.uint32(32), out)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, seed: str, rows_per_label: int, learn: Column, text: str = "text", doc_id: str = "doc_id", shares: dict | None = None) -> DataFrame:
-    """(doc_id, y, text) of about ``rows_per_label`` rows of each label value 0 and 1.
-
-    The rows are chosen by a hash of the id. The chosen ids, at most a few
-    thousand by that bound, are broadcast to the documents.
-    """
-    known = labels.where(learn & F.col(label).isin(0, 1)).select(F.col(doc_id).alias("__id__"), F.col(label).cast("int").alias("y"))
-    counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
-    most = {0: rows_per_label, 1: rows_per_label} | (shares or {})
-    part = F.when(F.col("y") == 1, F.lit(min(1.0, most[1] / max(1, counts.get(1, 0))))).otherwise(F.lit(min(1.0, most[0] / max(1, counts.get(0, 0)))))
-    chosen = known.where(share("__id__", seed) < part)
-    return (
-        docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-        .join(F.broadcast(chosen), F.col("doc_id") == F.col("__id__"))
-        .select("doc_id", "y", "text")
-        .where(F.char_length("text") <= LEARN_CHARS)
-    )
-
-
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", learn: Column | None = None, rows_per_label: int = ROWS_PER_LABEL, text: str = "text", doc_id: str = "doc_id") -> bag.Bag | None:
     """Learn from a bounded sample of labelled rows; None if there is none."""
-    sample = labelled_sample(docs, labels, label, "quality", rows_per_label, F.lit(True) if learn is None else learn, text, doc_id)
+    learn = F.lit(True) if learn is None else learn
+    sample = labelled(docs.withColumnRenamed(text, "text"), labels, label, learn, {}, rows_per_label, "quality", ["text"], doc_id)
 
     def make():
         def work(texts: pa.Array) -> list[pa.Array]:

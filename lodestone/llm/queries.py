@@ -28,8 +28,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     stats = cut(rules.statistics(docs, keep=["doc_id"]))
-    chosen = rules.labelled(labels.where(fold("doc_id", 5) != 0))
-    forest = rules.fit(stats.join(F.broadcast(chosen), "doc_id"))
+    forest = rules.fit(stats, labels, learn=fold("doc_id", 5) != 0)
     judged = rules.judge(stats, forest)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
 

@@ -144,6 +144,37 @@ def slice_hash(prefix: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mixed((prefix[b] - prefix[a]) * down[a])
 
 
+#: Sums modulo a power of two can't tell some structured strings apart, whatever the multiplier; modulo a prime they can.
+PRIME, PRIME_BASE = (1 << 31) - 1, 1_220_703_125
+
+_prime_powers = {"up": np.ones(1, U64), "down": np.ones(1, U64)}
+
+
+def prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """PRIME_BASE**i and PRIME_BASE**-i modulo PRIME for i below ``n``."""
+    while len(_prime_powers["up"]) < n:
+        for name, base in (("up", PRIME_BASE), ("down", pow(PRIME_BASE, -1, PRIME))):
+            have = _prime_powers[name]
+            _prime_powers[name] = np.concatenate([have, have * U64(pow(base, len(have), PRIME)) % U64(PRIME)])
+    return _prime_powers["up"][:n], _prime_powers["down"][:n]
+
+
+def sure_prefix(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What ``sure_hash`` gets its hashes from."""
+    up, _ = prime_powers(len(values) + 1)
+    out = np.zeros(len(values) + 1, U64)
+    np.cumsum((values.astype(U64) + U64(0x51)) * up[: len(values)] % U64(PRIME), out=out[1:], dtype=U64)
+    return prefix_hash(values), out
+
+
+def sure_hash(prefix: tuple[np.ndarray, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Like ``slice_hash``, also of structured strings: sums modulo 2**64 and modulo a prime, together, and the length."""
+    plain, prime = prefix
+    _, down = prime_powers(len(prime))
+    rest = (prime[b] - prime[a]) % U64(PRIME) * down[a] % U64(PRIME)
+    return mixed(slice_hash(plain, a, b) + mixed(rest << U64(32) | (b - a).astype(U64) & U64(0xFFFFFFFF)))
+
+
 def gram_hash(prefix: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the ``n`` values from each position on."""
     count = max(0, len(prefix) - n)
@@ -178,7 +209,3 @@ def fold(doc_id, n: int):
     """crc32 of an id as text, modulo ``n``; null for a null id."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(n))
 
-
-def share(col, seed: str):
-    """A number in [0, 1) that depends on an id and a seed alone."""
-    return F.pmod(F.xxhash64(F.lit(seed), F.col(col)), F.lit(1 << 30)) / F.lit(float(1 << 30))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import quality
+from .sample import labelled
 from .textscan import U64, codepoints, map_texts, mixed, prefix_hash, release, runs, segment_sum, slice_hash, utf8
 
 BITS = 18
@@ -242,7 +242,8 @@ def _calibrate(field: Field, p: np.ndarray, doc_off: np.ndarray, toxic: np.ndarr
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: Column | None = None, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS, text: str = "text", doc_id: str = "doc_id") -> Field | None:
     """Learn from a bounded sample of labelled documents; None without both kinds."""
-    sample = quality.labelled_sample(docs, labels, label, "toxic", clean_rows, F.lit(True) if learn is None else learn, text, doc_id, {1: toxic_rows})
+    learn = F.lit(True) if learn is None else learn
+    sample = labelled(docs.withColumnRenamed(text, "text"), labels, label, learn, {1: toxic_rows}, clean_rows, "toxic", ["text"], doc_id)
     got = sample.toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")]).combine_chunks()
     toxic = got.column("y").to_numpy().astype(np.int64)
     if not toxic.any() or toxic.all():

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from lodestone.llm import mixing
 
@@ -55,5 +56,15 @@ def test_odd_rows(spark):
 def test_wanted_cells_below_the_budget_are_held_at_one(spark):
     assert mixing.calibrated(np.array([100.0, 0.0]), np.array([10, 90]), 0.6).tolist() == [1.0, 0.0]
     for most in (mixing.DRIVER_CELLS, 0):
-        got = mixing.mix(corpus(spark), targets={"lang": {"de": 1.0, "en": 0.0}}, rounds=2, driver_cells=most).collect()
+        with pytest.warns(UserWarning, match="below the budget"):
+            got = mixing.mix(corpus(spark), targets={"lang": {"de": 1.0, "en": 0.0}}, rounds=2, driver_cells=most).collect()
         assert {(r["lang"] == "de", r["probability"]) for r in got} == {(True, 1.0), (False, 0.0)}, most
+
+
+def test_categories_without_a_target_and_missed_marginals_are_told(spark):
+    for most in (mixing.DRIVER_CELLS, 0):
+        with pytest.warns(UserWarning, match="below the budget"):
+            got = mixing.mix(corpus(spark), targets={"lang": {"de": 1.0}}, rounds=2, driver_cells=most).collect()
+        assert {(r["lang"] == "de", r["probability"]) for r in got} == {(True, 1.0), (False, 0.0)}, most
+        with pytest.warns(UserWarning, match="off its target"):
+            mixing.mix(corpus(spark), targets={"lang": {"de": 1.0, "xx": 5.0}}, rounds=1, driver_cells=most).collect()
