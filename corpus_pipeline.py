@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import bpe, langid, linededup, mixing, simhash
 from lodestone.llm.queries import byte_bpe_path
 from lodestone.session import table
-from lodestone.storage import cut, scratch
+from lodestone.storage import cut, drop, scratch
 
 
 def with_new(docs: DataFrame, names: tuple[str, ...], operator: Callable[[DataFrame], DataFrame], decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -90,12 +90,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``. What a stage has read is removed once it is written; the last one reads as its rows are asked for."""
     docs, root = table(spark, sf_dir, "documents"), scratch(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
             return out
         out.write.parquet(f"{root}/{k}")
+        if k:
+            drop(spark, f"{root}/{k - 1}")
         docs = spark.read.parquet(f"{root}/{k}")
     return docs
