@@ -10,8 +10,11 @@ counts goes to the tasks in two bitmaps of fixed size: a wrong bit changes the
 order, which is the same for all texts, and never a result.
 
 Texts that meet in a list of a member are first compared to one of it, chosen
-by hash anew in each list. Only what these links leave in different components
-is paired further, within blocks of bounded size. A pair is given up when what
+by hash anew in each list. Those that these links leave in different components
+are paired within blocks of bounded size: first each with the first one that it
+may be similar to, in an order that differs from list to list, then all that are
+in different components still. So a large group of similar texts gives links in
+proportion to its rows. A pair is given up when what
 is left behind the shared member in both sets can't reach the similarity, or
 when their parity sketches differ in more bits than so similar sets can differ
 in members; both are proofs, no estimates. Every other pair is verified on the
@@ -182,11 +185,12 @@ def _may(least: float, a: dict, b: dict):
     return behind & (apart <= F.lit(1 - 2 * share) * total + 1e-9)
 
 
-def _pairs_within(least: float):
-    """Pairs (a, b) of rows (list, block, other, mine, sig, n, at, root, bits) that stand in order of the first three.
+def _pairs_within(least: float, spanning: bool):
+    """Pairs (a, b) of rows (key, block, other, side, sig, n, at, root, bits) that stand in order of the first three.
 
-    A cell of one block has pairs of its rows; a cell of two has pairs of a row of
-    each. Only rows of different roots are paired.
+    A cell of one block has pairs of its rows (side 2); a cell of two has pairs of
+    a row of each (sides 0 and 1). Only rows of different roots are paired, each
+    ``spanning`` with the first that will do.
     """
     share = least / (1 + least)
 
@@ -198,22 +202,24 @@ def _pairs_within(least: float):
         return i[near], j[near]
 
     def settle(cols) -> list[np.ndarray]:
-        cell, mine, sig, n, at, root, bits = cols
+        cell, side, sig, n, at, root, bits = cols
         out = []
-        starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
+        starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
         lengths = np.diff(np.append(starts, len(cell)))
-        place = np.repeat(starts + lengths, lengths) - np.arange(len(cell))  # rows from each to its cell's end
-        short = np.repeat(lengths <= SHORT, lengths)
+        left_over = np.repeat(starts + lengths, lengths) - np.arange(len(cell))  # rows from each to its cell's end
+        open_ = np.repeat(lengths <= SHORT, lengths)
         for d in range(1, SHORT):
-            i = np.flatnonzero(short & (place > d))
+            i = np.flatnonzero(open_ & (left_over > d))
             if not len(i):
                 break
+            i = i[(side[i] == 2) | (side[i] != side[i + d])]
             i, j = able(n, at, root, bits, i, i + d)
-            out.append(np.stack([sig[i], sig[j]], axis=1)[(mine[i] == 2) | (mine[i] != mine[j])])
+            out.append(np.stack([sig[i], sig[j]], axis=1))
+            if spanning:
+                open_[i] = False
         for s, m in zip(starts[lengths > SHORT], lengths[lengths > SHORT], strict=True):
-            two = mine[s] != 2
-            rows = np.arange(s, s + m)
-            left, right = (rows[mine[rows] == 0], rows[mine[rows] == 1]) if two else (rows, rows)
+            rows, two = np.arange(s, s + m), side[s] != 2
+            left, right = (rows[side[rows] == 0], rows[side[rows] == 1]) if two else (rows, rows)
             step = max(1, (1 << 20) // max(1, len(right)))
             for lo in range(0, len(left), step):
                 part = left[lo : lo + step]
@@ -222,6 +228,10 @@ def _pairs_within(least: float):
                     grid &= part[:, None] < right[None, :]
                 x, y = np.nonzero(grid)
                 i, j = able(n, at, root, bits, part[x], right[y])
+                if spanning:
+                    j, first = np.unique(j, return_index=True)  # pairs stand in order of i
+                    i = i[first]
+                    right = np.setdiff1d(right, j, assume_unique=True)
                 out.append(np.stack([sig[i], sig[j]], axis=1))
         return out
 
@@ -229,17 +239,17 @@ def _pairs_within(least: float):
         held = None
         for batch in batches:
             key = np.stack([batch.column(c).to_numpy() for c in range(3)], axis=1)
-            new = [
-                key, *[batch.column(c).to_numpy() for c in range(3, 8)],
-                np.concatenate([batch.column(8).flatten().to_numpy()]).reshape(len(key), SKETCH).view(U64),
-            ]
+            bits = batch.column(8).flatten().to_numpy().reshape(len(key), SKETCH).view(U64)
+            new = [key, *[batch.column(c).to_numpy() for c in range(3, 8)], bits]
             held = new if held is None else [np.concatenate([x, y]) for x, y in zip(held, new, strict=True)]
+            if not len(held[0]):
+                continue
             same = (held[0] == held[0][-1]).all(axis=1)
-            last = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
+            last = 0 if same.all() else len(same) - int(np.argmin(same[::-1]))
             if last:
                 yield _emit(settle(_numbered([c[:last] for c in held])))
                 held = [c[last:] for c in held]
-        if held is not None:
+        if held is not None and len(held[0]):
             yield _emit(settle(_numbered(held)))
 
     return run
@@ -258,8 +268,8 @@ def _emit(parts: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def remaining_pairs(lists: DataFrame, roots: DataFrame, least: float) -> DataFrame:
-    """(a, b): pairs of rows of one list that may be similar and have different roots."""
+def remaining_pairs(lists: DataFrame, roots: DataFrame, least: float, spanning: bool) -> DataFrame:
+    """(a, b): pairs of rows of one list that may be similar and have different roots; ``spanning``, one for each row at most."""
     placed = cut(lists.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").select("key", "sig", "n", "at", "bits", F.coalesce("root", "sig").alias("root")))
     parted = cut(placed.groupBy("key").agg(F.min("root").alias("l"), F.max("root").alias("g"), F.count("*").alias("m")).where("l <> g").select("key", "m"))
     blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
@@ -272,8 +282,8 @@ def remaining_pairs(lists: DataFrame, roots: DataFrame, least: float) -> DataFra
         F.when(F.col("mine") == F.col("with"), 2).when(F.col("mine") < F.col("with"), 0).otherwise(1).cast("long").alias("side"),
         "sig", "n", F.col("at").cast("long").alias("at"), "root", "bits",
     )
-    dealt = cells.repartition("key", "block", "other").sortWithinPartitions("key", "block", "other")
-    return dealt.mapInArrow(_pairs_within(least), "a long, b long").distinct()
+    dealt = cells.repartition("key", "block", "other").sortWithinPartitions("key", "block", "other", F.xxhash64("key", "sig"))
+    return dealt.mapInArrow(_pairs_within(least, spanning), "a long, b long").distinct()
 
 
 def similar_links(df: DataFrame, text: str = "text", node: str = "fp", words: int = SHINGLE, least: float = LEAST) -> DataFrame:
@@ -297,10 +307,11 @@ def similar_links(df: DataFrame, text: str = "text", node: str = "fp", words: in
     stars = met.where(_may(least, {f: F.col(f) for f in fields}, {f: F.col(f"c.{f}") for f in fields}))
     stars = cut(stars.select(F.least("sig", "c.sig").alias("a"), F.greatest("sig", "c.sig").alias("b")).distinct())
     nodes = sets.select("sig", "a")
-    links = _verified(stars, nodes, df, text, node, words, least)
+    every, tried = _verified(stars, nodes, df, text, node, words, least), stars
     open_lists = lists.join(middle.select("key"), "key", "left_semi")
-    rest = cut(remaining_pairs(open_lists, components(links), least).join(stars, ["a", "b"], "left_anti"))
-    every = links.unionByName(_verified(rest, nodes, df, text, node, words, least))
+    for spanning in (True, False):
+        rest = cut(remaining_pairs(open_lists, components(every), least, spanning).join(tried, ["a", "b"], "left_anti"))
+        every, tried = every.unionByName(_verified(rest, nodes, df, text, node, words, least)), tried.unionByName(rest)
     named = cut(nodes.join(every.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "sig", "left_semi"))
     of = lambda c: named.select(F.col("sig").alias(c), F.col("a").alias(f"{c}_node"))
     linked = every.join(of("a"), "a").join(of("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).where("a <> b")

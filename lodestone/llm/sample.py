@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.storage import cut
+from lodestone.storage import cut, small
 
 
 def _limit(label: str, most: dict, otherwise: int) -> Column:
@@ -25,9 +25,14 @@ def bounded(rows: DataFrame, label: str, most: dict, otherwise: int, seed: str)
     Only hashes are ranked; the chosen ones, as few as the bounds say, are broadcast to the rows.
     """
     named = rows.withColumn("__pick__", F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in rows.columns]))
-    order = Window.partitionBy(label).orderBy("__pick__")
-    ranked = named.select(label, "__pick__").distinct().withColumn("__nth__", F.row_number().over(order))
-    chosen = ranked.where(F.col("__nth__") <= max([otherwise, *most.values()])).where(F.col("__nth__") <= _limit(label, most, otherwise))
+    hashes = cut(named.select(label, "__pick__").distinct())
+    limit = _limit(label, most, otherwise)
+    # of a label with many rows a share is ranked that holds enough of them, so that no task gets them all
+    counts = small(hashes.groupBy(label).agg(F.count("*").alias("__all__")))
+    enough = (limit + 10 * F.sqrt(limit) + 30) / F.col("__all__")
+    some = hashes.join(counts, label).where(F.pmod("__pick__", F.lit(1 << 30)) < enough * (1 << 30)).drop("__all__")
+    ranked = some.withColumn("__nth__", F.row_number().over(Window.partitionBy(label).orderBy("__pick__")))
+    chosen = ranked.where(F.col("__nth__") <= max([otherwise, *most.values()])).where(F.col("__nth__") <= limit)
     picks = chosen.select(F.col("__pick__").alias("__chosen__"))
     return named.join(F.broadcast(picks), F.col("__pick__") == F.col("__chosen__"), "left_semi").dropDuplicates(["__pick__"]).select(*rows.columns)
 
