@@ -4,21 +4,24 @@ Inner products aren't distances, so vectors get one more component: with M the
 largest squared length, x becomes (x, sqrt(M - |x|^2)) and a query (q, 0). Then
 |q - x|^2 = |q|^2 + M - 2 q.x, and the nearest are those of largest product.
 
-Rows are dealt into shards of at most about ``SHARD_ROWS`` and queries into
-blocks of ``QUERY_BLOCK``; each pair of a shard and a block is a task's unit of
-work. Within a shard the vectors form an M-tree of pages: a routing object and
-covering radius for each page, the distance to the parent for each entry. The
-queries of a block search it together, each in its own best-first order of
-pages. A page is skipped if its lower bound |d(q, page) - radius| can't beat
+Rows are dealt into shards of about ``SHARD_ROWS``. Within a shard the vectors
+form an M-tree of pages: a routing object and covering radius for each page, the
+distance to the parent for each entry. A task builds each of its shards' trees
+once; the queries stream past it in blocks of ``QUERY_BLOCK``, and those of a
+block search the tree together, each in its own best-first order of pages. A page is skipped if its lower bound |d(q, page) - radius| can't beat
 the query's k-th result, an entry if its stored parent distance already rules
 it out (triangle inequality). Bounds have a margin for rounding; the products
-themselves are integers in exact arithmetic.
+themselves are integers in exact arithmetic: in floats where squared lengths
+stay below 2**52, in 64-bit integers beyond.
 
 Of equal vectors only the k+1 smallest ids of a shard are kept: no others can
-be among the first k, whatever the query's own id. Defined results: vectors
-that are null, have another length than the first query's, or hold null or
-non-finite components take no part; neither do null ids. Rows repeated with the
-same id and vector are one candidate. An empty table gives an empty result.
+be among the first k, whatever the query's own id. Defined results: vectors that
+are null, have another length than most queries', or hold null or non-finite
+components take no part; neither do null ids, nor vectors whose squared length,
+times the factor's square, reaches 2**62: their products may be no 64-bit
+integers. Rows repeated with the same id and vector are one candidate; different
+vectors of one id are one each. Columns besides id and vector aren't read, so
+their names don't matter. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ FANOUT = 16
 SHARD_ROWS = 8192
 QUERY_BLOCK = 4096
 #: Relative margin of the bounds for rounding.
-MARGIN = 1e-9
+MARGIN = 1e-7
 
 FOUND = "query_id long, vec_id long, score long"
 
@@ -46,7 +49,7 @@ FOUND = "query_id long, vec_id long, score long"
 class Tree:
     """Pages of one shard. Level 0 are leaf pages; the level above routes to groups of them."""
 
-    vectors: np.ndarray  # rows x dims: integers as float64, in page order
+    vectors: np.ndarray  # rows x dims: integers in page order, as float64 or int64, whichever multiplies exactly
     lift: np.ndarray  # the added component
     ids: list[np.ndarray]  # for each row the smallest ids of that vector
     page_off: np.ndarray  # rows of each page
@@ -57,7 +60,6 @@ class Tree:
     top_centers: np.ndarray
     top_radius: np.ndarray
     page_to_top: np.ndarray  # distance of each page's routing object to its upper node's
-    least_id: np.ndarray  # smallest id of each page
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -93,8 +95,9 @@ def build(vectors: np.ndarray, ids: np.ndarray, k: int, reach: float) -> Tree:
     ends = np.concatenate([starts[1:], [len(vectors)]])
     own_ids = [ids[a : min(b, a + k + 1)] for a, b in zip(starts, ends, strict=True)]
     vectors = vectors[starts]
-    lift = np.sqrt(np.maximum(reach - (vectors * vectors).sum(axis=1), 0))
-    x = np.concatenate([vectors, lift[:, None]], axis=1)
+    wide = vectors.astype(np.float64)
+    lift = np.sqrt(np.maximum(reach - (wide * wide).sum(axis=1), 0))
+    x = np.concatenate([wide, lift[:, None]], axis=1)
     groups = split(x, np.arange(len(x)), PAGE)
     centers = np.stack([x[g].mean(axis=0) for g in groups])
     tops = split(centers, np.arange(len(groups)), FANOUT)
@@ -110,20 +113,16 @@ def build(vectors: np.ndarray, ids: np.ndarray, k: int, reach: float) -> Tree:
     top_centers = np.stack([centers[a:b].mean(axis=0) for a, b in zip(top_off[:-1], top_off[1:], strict=True)])
     page_to_top = np.sqrt(((centers - top_centers[top_of]) ** 2).sum(axis=1))
     top_radius = np.maximum.reduceat(page_to_top + radius, top_off[:-1])
-    first = np.array([i[0] for i in own_ids])[at]
-    return Tree(
-        vectors[at], lift[at], [own_ids[i] for i in at], page_off, centers, radius, to_parent, top_off, top_centers, top_radius, page_to_top,
-        np.minimum.reduceat(first, page_off[:-1]),
-    )
+    return Tree(vectors[at], lift[at], [own_ids[i] for i in at], page_off, centers, radius, to_parent, top_off, top_centers, top_radius, page_to_top)
 
 
 def search(tree: Tree, queries: np.ndarray, query_ids: np.ndarray, k: int, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, id, score) of each query's first k in the tree: all queries step by step, each in its own order."""
     n = len(queries)
-    q = np.concatenate([queries, np.zeros((n, 1))], axis=1)
-    length = (queries * queries).sum(axis=1)
+    q = np.concatenate([queries.astype(np.float64), np.zeros((n, 1))], axis=1)
+    length = (q * q).sum(axis=1)
     slack = MARGIN * np.sqrt(length + reach) + 1e-6
-    kth = np.full(n, -np.inf)  # the k-th best score so far
+    kth, kth_score = np.full(n, -np.inf), np.full(n, np.iinfo(np.int64).min)  # the k-th best score so far, for bounds and exactly
     scores: list[np.ndarray] = [np.zeros(0, np.int64)] * n
     found: list[np.ndarray] = [np.zeros(0, np.int64)] * n
     # lower bounds of pages' distances, by way of the upper nodes: |d(q, top) - d(top, page)| - radius
@@ -168,21 +167,20 @@ def search(tree: Tree, queries: np.ndarray, query_ids: np.ndarray, k: int, reach
             entries = np.flatnonzero(may.any(axis=0))
             if not len(entries):
                 continue
-            product = queries[rows] @ tree.vectors[a + entries].T
-            product[~may[:, entries]] = -np.inf
+            product, allowed = (queries[rows] @ tree.vectors[a + entries].T).astype(np.int64), may[:, entries]
             for j, row in enumerate(rows):
-                better = np.flatnonzero(product[j] >= kth[row])
-                better = better[np.isfinite(product[j][better])]
+                better = np.flatnonzero(allowed[j] & (product[j] >= kth_score[row]))
                 if not len(better):
                     continue
                 own = [tree.ids[a + entries[x]] for x in better]
-                sc = np.repeat(product[j][better].astype(np.int64), [len(o) for o in own])
+                sc = np.repeat(product[j][better], [len(o) for o in own])
                 vid = np.concatenate(own)
                 other = vid != query_ids[row]
                 sc, vid = np.concatenate([scores[row], sc[other]]), np.concatenate([found[row], vid[other]])
                 first = np.lexsort((vid, -sc))[:k]
                 scores[row], found[row] = sc[first], vid[first]
                 if len(first) == k:
+                    kth_score[row] = sc[first[-1]]
                     kth[row] = float(sc[first[-1]])
     sizes = [len(f) for f in found]
     return np.repeat(np.arange(n), sizes), np.concatenate(found) if n else np.zeros(0, np.int64), np.concatenate(scores) if n else np.zeros(0, np.int64)
@@ -202,40 +200,51 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     first = queries.select(F.size("v").alias("d")).groupBy("d").count().orderBy(F.desc("count"), "d").first()
     if not facts["n"] or first is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    n_queries = queries.count()
     shards = max(1, -(-facts["n"] // SHARD_ROWS))
-    blocks = max(1, -(-n_queries // QUERY_BLOCK))
     reach, dims = float(facts["reach"]), first["d"]
-    # products and squares stay below 2**53, so float64 arithmetic on them is exact
-    if reach >= 2**52:
-        raise ValueError("vectors are too long for exact arithmetic")
-    cell = lambda shard, block: (shard * blocks + block).cast("int").alias("cell")
-    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    rows = (
-        vectors.where(F.size("v") == dims)
-        .select("id", "v", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), numbers(blocks).alias("block"))
-        .select(cell(F.col("shard"), F.col("block")), "id", "v", F.lit(False).alias("query"))
-    )
-    asked = (
-        queries.where(F.size("v") == dims)
-        .select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), numbers(shards).alias("shard"))
-        .select(cell(F.col("shard"), F.col("block")), "id", "v", F.lit(True).alias("query"))
-    )
-
-    def solve(batch: pa.Table) -> pa.Table:
-        ids = batch.column("id").to_numpy()
-        v = np.concatenate([c.flatten().to_numpy() for c in batch.column("v").chunks]).reshape(len(ids), dims).astype(np.float64)
-        is_query = batch.column("query").to_numpy()
-        if is_query.all() or not is_query.any():
-            q, i, s = (np.zeros(0, np.int64) for _ in range(3))
-        else:
-            tree = build(v[~is_query], ids[~is_query], k, reach)
-            row, i, s = search(tree, v[is_query], ids[is_query], k, reach)
-            q = ids[is_query][row]
-        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(i, pa.int64()), "score": pa.array(s, pa.int64())})
-
-    cells = rows.unionByName(asked).groupBy("cell").applyInArrow(solve, FOUND)
-    return first_k(cells, k)
+    exact = np.float64 if reach < 2**52 else np.int64  # what multiplies without rounding
+    rows = vectors.where(F.size("v") == dims).select(F.pmod(F.xxhash64("id", "v"), F.lit(shards)).alias("shard"), F.lit(False).alias("query"), "id", "v")
+    asked = queries.where(F.size("v") == dims).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(True).alias("query"), "id", "v")
+
+    def run(batches):
+        shard, tree, held, kind = None, None, [], False
+
+        def settle():
+            """What the rows held are for: a tree, or results of queries in the tree."""
+            nonlocal tree
+            if not held:
+                return None
+            ids, v = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            held.clear()
+            if not kind:
+                tree = build(v, ids, k, reach)
+                return None
+            if tree is None:
+                return None
+            row, i, s = search(tree, v, ids, k, reach)
+            return pa.RecordBatch.from_arrays([pa.array(ids[row], pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.int64())], names=["query_id", "vec_id", "score"])
+
+        for batch in batches:
+            own, asks, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy()
+            v = batch.column(3).flatten().to_numpy().reshape(len(ids), dims).astype(exact)
+            edges = np.flatnonzero((own[1:] != own[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for lo, hi in zip([0, *edges], [*edges, len(own)], strict=True):
+                if lo == hi:
+                    continue
+                if shard != own[lo] or kind != asks[lo] or (kind and sum(len(h[0]) for h in held) >= QUERY_BLOCK):
+                    done = settle()
+                    if done is not None:
+                        yield done
+                    if shard != own[lo]:
+                        tree = None
+                    shard, kind = own[lo], asks[lo]
+                held.append((ids[lo:hi], v[lo:hi]))
+        done = settle()
+        if done is not None:
+            yield done
+
+    dealt = rows.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "query")
+    return first_k(dealt.mapInArrow(run, FOUND), k)
 
 
 def first_k(found: DataFrame, k: int) -> DataFrame:
@@ -245,8 +254,9 @@ def first_k(found: DataFrame, k: int) -> DataFrame:
 
 
 def scaled(df: DataFrame, vector: str, vec_id: str, factor: int = 64) -> DataFrame:
-    """(id, v): each component x as floor(factor * x); vectors with null or non-finite components are left out."""
+    """(id, v): each component x as floor(factor * x); vectors that take no part are left out."""
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    wide = F.transform(vector, lambda x: x.cast("double"))
+    wide = F.transform(vector, lambda x: x.cast("double") * float(factor))
     ok = F.col(vec_id).isNotNull() & F.col(vector).isNotNull() & F.forall(wide, lambda x: F.coalesce(finite(x), F.lit(False)))
-    return df.where(ok).select(F.col(vec_id).cast("long").alias("id"), F.transform(wide, lambda x: F.floor(x * factor)).alias("v"))
+    square = F.aggregate(wide, F.lit(0.0), lambda s, x: s + (F.abs(x) + 1) * (F.abs(x) + 1))
+    return df.where(ok & (square < float(1 << 62))).select(F.col(vec_id).cast("long").alias("id"), F.transform(wide, lambda x: F.floor(x)).alias("v"))

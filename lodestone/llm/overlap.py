@@ -41,12 +41,14 @@ LEAST = 0.8
 #: Part of the hash range whose members are counted.
 DOMAIN = 0.3
 #: A member is common if it occurs oftener than this, and than a HOT_KEYS-th of all counted: so at most HOT_KEYS are.
-HOT_TIMES, HOT_KEYS = 64, 1 << 20
-SHARED_BITS, HOT_BITS = 1 << 26, 1 << 24
+HOT_TIMES, HOT_KEYS = 64, 1 << 19
+SHARED_BITS, HOT_BITS, ASKED_BITS = 1 << 25, 1 << 23, 1 << 24
 #: 64-bit words of a parity sketch.
 SKETCH = 8
 #: Rows of a list that are compared among themselves in one place; a longer list is dealt into blocks.
 BLOCK = 4096
+#: Pairs that one step compares by their sketches.
+STEP = 1 << 16
 #: Lists up to this length are compared across all lists of a batch at once.
 SHORT = 48
 
@@ -168,7 +170,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, df: DataFrame, text: str, node
         return pairs
     asked = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
     wanted = cut(nodes.select("sig", F.col("a").alias("wanted")).join(asked, "sig"))
-    near, _ = sieve.apart(df.select(node, text), F.col(node), wanted.select("wanted"))
+    near, _ = sieve.apart(df.select(node, text), F.col(node), wanted.select("wanted"), ASKED_BITS)
     found = whole_sets(near, text, node, words).join(wanted.select(F.col("wanted").alias(node), F.col("sig").alias("own")), node).where("sig = own")
     sets = cut(found.groupBy("sig").agg(F.first("members").alias("members")))  # equal sets: any of them
     left, right = sets.select(F.col("sig").alias("a"), F.col("members").alias("x")), sets.select(F.col("sig").alias("b"), F.col("members").alias("y"))
@@ -220,7 +222,7 @@ def _pairs_within(least: float, spanning: bool):
         for s, m in zip(starts[lengths > SHORT], lengths[lengths > SHORT], strict=True):
             rows, two = np.arange(s, s + m), side[s] != 2
             left, right = (rows[side[rows] == 0], rows[side[rows] == 1]) if two else (rows, rows)
-            step = max(1, (1 << 20) // max(1, len(right)))
+            step = max(1, STEP // max(1, len(right)))
             for lo in range(0, len(left), step):
                 part = left[lo : lo + step]
                 grid = root[part][:, None] != root[right][None, :]
@@ -268,6 +270,12 @@ def _emit(parts: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
+def _labels(links: DataFrame) -> DataFrame:
+    """(node, root): the smallest of a node and those it is linked to. Nodes of one root are connected; one round tells no more."""
+    both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    return both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("root"))
+
+
 def remaining_pairs(lists: DataFrame, roots: DataFrame, least: float, spanning: bool) -> DataFrame:
     """(a, b): pairs of rows of one list that may be similar and have different roots; ``spanning``, one for each row at most."""
     placed = cut(lists.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").select("key", "sig", "n", "at", "bits", F.coalesce("root", "sig").alias("root")))
@@ -310,7 +318,8 @@ def similar_links(df: DataFrame, text: str = "text", node: str = "fp", words: in
     every, tried = _verified(stars, nodes, df, text, node, words, least), stars
     open_lists = lists.join(middle.select("key"), "key", "left_semi")
     for spanning in (True, False):
-        rest = cut(remaining_pairs(open_lists, components(every), least, spanning).join(tried, ["a", "b"], "left_anti"))
+        roots = _labels(every) if spanning else components(every)
+        rest = cut(remaining_pairs(open_lists, roots, least, spanning).join(tried, ["a", "b"], "left_anti"))
         every, tried = every.unionByName(_verified(rest, nodes, df, text, node, words, least)), tried.unionByName(rest)
     named = cut(nodes.join(every.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "sig", "left_semi"))
     of = lambda c: named.select(F.col("sig").alias(c), F.col("a").alias(f"{c}_node"))

@@ -3,14 +3,18 @@
 A batch of changes (inserts, deletes, revised counts) is reduced to signed sums
 by source, language and tokenizer version and written as a small Parquet
 folder. It counts from the moment its log entry exists: entries are numbered
-files that are created only where none is, so of two writers one gets a number
-and the other goes on to the next. A batch id that the log has is not committed
-again. Totals are sums over the committed folders; ``compact`` replaces them by
+files that appear whole and only where none is, so of two writers one gets a
+number and the other looks at the log again before it goes on to the next. That
+takes a file system with such a step: a hard link on local ones, a rename that
+refuses to replace on HDFS. Object stores have none: there only one writer at a
+time may commit. A batch id that the log has is not committed again. Totals are sums over the committed folders; ``compact`` replaces them by
 one. Deltas are additive, so neither reads documents again.
 
-Defined results: null source and language are groups of their own; changes
-with a null kind or count are refused; totals that come to no documents and no
-tokens are left out.
+Defined results: null source and language are groups of their own; repeated
+changes count as often as they come; an empty batch commits and changes nothing;
+changes with a null kind or count are refused; columns that changes have besides
+aren't read; totals that come to no documents and no tokens are left out. Texts
+aren't read, so their length doesn't matter.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,10 +72,20 @@ class Rollup:
         stream.write(bytearray(json.dumps(entry).encode()))
         stream.close()
         self._fs.mkdirs(whole.getParent())
-        if self._fs.exists(whole):
-            self._fs.delete(part, False)
-            return False
-        return bool(self._fs.rename(part, whole))
+        try:
+            if self._fs.getUri().getScheme() == "file":
+                plain = lambda p: self.spark._jvm.java.io.File(p.toUri().getPath()).toPath()
+                try:
+                    self.spark._jvm.java.nio.file.Files.createLink(plain(whole), plain(part))
+                except Py4JJavaError as e:
+                    if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                        return False
+                    raise
+                return True
+            return not self._fs.exists(whole) and bool(self._fs.rename(part, whole))
+        finally:
+            if self._fs.exists(part):
+                self._fs.delete(part, False)
 
     def committed(self) -> set[str]:
         return {b for e in self._entries() for b in e["batches"]}

@@ -17,7 +17,7 @@ from lodestone.storage import cut
 from .textscan import unused
 
 ROW_BITS = 1 << 15
-BITS = 1 << 26
+BITS = 1 << 25
 
 
 def bitmap(keys: DataFrame, bits: int = BITS) -> DataFrame:

@@ -1,19 +1,24 @@
 """Toxicity: a linear-chain conditional random field over words, fitted and decoded in numpy.
 
 Words are runs of letters, digits and apostrophes; a sequence is a sentence
-(to . ! ? or a line feed), cut after ``LONGEST`` words. Every word of every
-text is in one sequence. A word's features are hashes of the word, its
-beginnings and its end; two tags, toxic or not.
+(to . ! ? or a line feed), however long. Every word of every text is in one
+sequence. A word's features are hashes of the word, its beginnings and its end;
+two tags, toxic or not.
 
 Labels are given for documents. The tag of a training word follows from them: a
-feature that occurs in toxic documents too often for chance, by the binomial
-bound ``EVIDENCE``, marks the words that have it there. Forward-backward
-marginals of all words give the document's score (calibrated on labelled
-documents) and the offending offsets.
+feature that occurs in toxic documents too often for chance, by a binomial bound
+that grows with the number of features tried, marks the words that have it
+there. The field is fitted by gradient descent on the sequences' conditional
+log-likelihood, with the marginals of words and of pairs of neighbours.
+Forward-backward marginals of all words give the document's score, calibrated on
+labelled documents that nothing else was learned from, and the offending
+offsets.
 
 Defined results: a null, empty or word-free text has the score of a text
-without a toxic word, and no spans. Without toxic and clean labelled rows every
-score is 0. Extra columns are kept, clashing ones replaced.
+without a toxic word, and no spans; a very long text is tagged whole, in time
+linear in its words; repeated rows are learned from once and scored alike; ties
+don't arise. Without toxic and clean labelled rows every score is 0; an empty
+table gives an empty one. Extra columns are kept, clashing ones replaced.
 """
 
 from __future__ import annotations
@@ -27,18 +32,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .sample import labelled
-from .textscan import U64, codepoints, map_texts, mixed, prefix_hash, release, runs, segment_sum, slice_hash, utf8
+from .textscan import U64, blocks, codepoints, map_texts, mixed, prefix_hash, release, runs, segment_sum, slice_hash, utf8
 
 BITS = 18
-LONGEST = 40
+#: Words of a piece: pieces of a sequence are worked on side by side, and joined by 2 x 2 transfers, which is exact.
+PIECE = 64
 BEGINNINGS = (3, 4, 5, 6)
 END = 4
 #: Bound of the labelled documents learned from: toxic, clean.
-TOXIC_ROWS, CLEAN_ROWS = 700, 1400
-#: How unlikely (natural logarithm) a feature's documents must be by chance before it marks words.
-EVIDENCE = 18.0
-#: The least weight of evidence, as toxic share against expected share, for a feature to mark words.
-LEAST_SHARE = 0.9
+TOXIC_ROWS, CLEAN_ROWS = 900, 1800
+#: A feature's documents must be less likely by chance than one of all features that are as frequent, by this (natural logarithm).
+MARGIN = 0.0
+#: The least share of toxic documents among a feature's, and the least number of them, for it to mark words.
+LEAST_SHARE, LEAST_DOCUMENTS = 0.9, 3
 
 SPANS = "array<struct<start:int,end:int,probability:float>>"
 
@@ -98,12 +104,22 @@ def words_of(texts: pa.Array) -> Words:
     sentence = stop[a] + np.searchsorted(at, a, "right")  # a new number after each end and in each text
     begin = np.ones(len(a), bool)
     begin[1:] = sentence[1:] != sentence[:-1]
-    starts = np.flatnonzero(begin)
-    place = np.arange(len(a)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(a)]]))) if len(a) else np.zeros(0, np.int64)
-    begin |= place % LONGEST == 0
     return Words(a, b, doc_off, at, buckets, np.concatenate([np.flatnonzero(begin), [len(a)]]))
 
 
+class _Pieces:
+    """Sequences cut after each PIECE words."""
+
+    def __init__(self, seq_off: np.ndarray) -> None:
+        whole = np.diff(seq_off)
+        count = -(-whole // PIECE)
+        seq = np.repeat(np.arange(len(whole)), count)
+        self.rank = np.arange(len(seq)) - np.repeat(np.cumsum(count) - count, count)
+        self.start = seq_off[:-1][seq] + self.rank * PIECE
+        self.length = np.minimum(PIECE, whole[seq] - self.rank * PIECE)
+        self.pieces = count[seq]
+
+
 @dataclass
 class Field:
     """Weights of the features for the toxic tag, transition scores between tags, and the document's calibration."""
@@ -114,23 +130,24 @@ class Field:
     calibration: np.ndarray  # bias, log-odds of the likeliest word, expected number of words
 
     def marginals(self, w: Words) -> np.ndarray:
-        """Probability of the toxic tag for each word: forward-backward over all sequences at once, by length."""
+        """Probability of the toxic tag for each word."""
+        return self.messages(w)[0]
+
+    def messages(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Probabilities, and the log odds of the toxic tag that come from ahead (with the word's own) and from behind."""
         emit = self.weights[w.features].sum(axis=1, dtype=np.float64)
-        out = np.empty(len(emit))
-        lengths = np.diff(w.seq_off)
-        order = np.argsort(-lengths, kind="stable")
-        starts, lengths = w.seq_off[:-1][order], lengths[order]
+        p = _Pieces(w.seq_off)
+        enter, leave = self._between(emit, p)
+        order = np.argsort(-p.length, kind="stable")
+        starts, lengths, enter, leave = p.start[order], p.length[order], enter[order], leave[order]
         longest = int(lengths[0]) if len(lengths) else 0
-        active = [int(np.searchsorted(-lengths, -t, "left")) for t in range(longest)]  # sequences longer than t
-        # log odds of toxic against clean, forward (m) and backward (k), two tags only
+        active = [int(np.searchsorted(-lengths, -t, "left")) for t in range(longest)]  # pieces longer than t
         (cc, ct), (tc, tt) = self.move
-        ahead = np.empty(len(emit))
-        m = None
+        ahead, back = np.empty(len(emit)), np.empty(len(emit))
+        m = enter
         for t in range(longest):
             at = starts[: active[t]] + t
-            if t == 0:
-                m = np.full(len(at), self.first[1] - self.first[0])
-            else:
+            if t:
                 m = m[: active[t]]
                 m = np.logaddexp(ct, tt + m) - np.logaddexp(cc, tc + m)
             m = m + emit[at]
@@ -139,13 +156,62 @@ class Field:
         for t in range(longest - 1, -1, -1):
             at = starts[: active[t]] + t
             more = len(k)  # these go on after t
-            back = np.zeros(len(at))
+            now = leave[: len(at)].copy()
             if more:
                 e = emit[at[:more] + 1] + k
-                back[:more] = np.logaddexp(tc, tt + e) - np.logaddexp(cc, ct + e)
-            out[at] = ahead[at] + back
-            k = back
-        return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
+                now[:more] = np.logaddexp(tc, tt + e) - np.logaddexp(cc, ct + e)
+            back[at] = k = now
+        return 1 / (1 + np.exp(-np.clip(ahead + back, -40, 40))), ahead, back
+
+    def _between(self, emit: np.ndarray, p: _Pieces) -> tuple[np.ndarray, np.ndarray]:
+        """Log odds that enter each piece at its first word (without its own) and leave it at its last one."""
+        enter, leave = np.full(len(p.start), self.first[1] - self.first[0]), np.zeros(len(p.start))
+        many = np.flatnonzero(p.pieces > 1)
+        if not len(many):
+            return enter, leave
+        # log weights of the last word's tags, from either tag of the first word on
+        through = np.full((len(many), 2, 2), -1e30)
+        through[:, 0, 0] = through[:, 1, 1] = 0.0
+        step = lambda x: np.stack([np.logaddexp(x[..., 0] + self.move[0, t], x[..., 1] + self.move[1, t]) for t in (0, 1)], axis=-1)
+        for t in range(PIECE):
+            on = np.flatnonzero(p.length[many] > t)
+            if t:
+                through[on] = step(through[on])
+            through[on, :, 1] += emit[p.start[many[on]] + t][:, None]
+        over = step(through)  # to the tags of the next piece's first word
+        row = np.full(len(p.start), -1)
+        row[many] = np.arange(len(many))
+        deepest = int(p.rank.max())
+        by_rank = [np.flatnonzero(p.rank == r) for r in range(deepest + 1)] if deepest < 64 else np.split(np.argsort(p.rank, kind="stable"), np.cumsum(np.bincount(p.rank))[:-1])
+        for r in range(1, deepest + 1):
+            i = by_rank[r]
+            f, e = over[row[i - 1]], enter[i - 1]
+            enter[i] = np.logaddexp(f[:, 0, 1], e + f[:, 1, 1]) - np.logaddexp(f[:, 0, 0], e + f[:, 1, 0])
+        # log weights of all that follows a piece's start, by the first word's tag
+        rest = np.zeros((len(p.start), 2))
+        for r in range(deepest, -1, -1):
+            i = by_rank[r]
+            i = i[p.pieces[i] > 1]
+            last = p.rank[i] == p.pieces[i] - 1
+            end, mid = i[last], i[~last]
+            rest[end] = np.logaddexp(through[row[end]][:, :, 0], through[row[end]][:, :, 1])
+            f, after = over[row[mid]], rest[mid + 1][:, None, :]
+            rest[mid] = np.logaddexp(f[:, :, 0] + after[:, :, 0], f[:, :, 1] + after[:, :, 1])
+            rest[mid] -= rest[mid].max(axis=1, keepdims=True)
+            after = rest[mid + 1]
+            weigh = lambda s, after=after: np.logaddexp(self.move[s, 0] + after[:, 0], self.move[s, 1] + after[:, 1])
+            leave[mid] = weigh(1) - weigh(0)
+        return enter, leave
+
+    def edges(self, w: Words, ahead: np.ndarray, back: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """(words, 2, 2): probabilities of the tags of the word before each of ``j`` and of that word itself."""
+        emit = self.weights[w.features[j]].sum(axis=1, dtype=np.float64)
+        log = np.zeros((len(j), 2, 2)) + self.move[None]
+        log[:, 1, :] += ahead[j - 1][:, None]
+        log[:, :, 1] += (emit + back[j])[:, None]
+        log -= log.max(axis=(1, 2), keepdims=True)
+        out = np.exp(log)
+        return out / out.sum(axis=(1, 2), keepdims=True)
 
     def documents(self, p: np.ndarray, doc_off: np.ndarray) -> np.ndarray:
         """What the calibration sees of each document."""
@@ -162,6 +228,28 @@ class Field:
         return np.round(1 / (1 + np.exp(-np.clip(z, -40, 40))), 6)
 
 
+def _joined(texts: pa.Array) -> Words:
+    """Words of a whole column, block by block, so that few of what is computed on the way exists at once."""
+    parts = []
+    for lo, hi in blocks(utf8(texts)[1]):
+        x = words_of(texts.slice(lo, hi - lo))
+        parts.append((x.features.astype(np.int32), np.diff(x.doc_off), np.diff(x.seq_off)))
+    features = np.concatenate([x[0] for x in parts]) if parts else np.zeros((0, len(BEGINNINGS) + 2), np.int32)
+    ends = lambda i: np.concatenate([[0], *[x[i] for x in parts]]).cumsum()
+    none = np.zeros(len(features), np.int8)
+    return Words(none, none, ends(1), np.zeros(len(texts) + 1, np.int64), features, ends(2))
+
+
+def _documents(w: Words, docs: np.ndarray) -> Words:
+    """The words of some documents."""
+    n = np.diff(w.doc_off)[docs]
+    at = np.repeat(w.doc_off[docs], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    owner = np.searchsorted(w.doc_off, w.seq_off[:-1], "right") - 1
+    lengths = np.diff(w.seq_off)[np.isin(owner, docs)]
+    off = np.concatenate([[0], np.cumsum(n)])
+    return Words(w.start[at], w.end[at], off, np.zeros(len(off), np.int64), w.features[at], np.concatenate([[0], np.cumsum(lengths)]))
+
+
 def _marked(w: Words, toxic: np.ndarray) -> np.ndarray:
     """Tags of the training words: those of toxic documents that have a feature beyond chance."""
     docs = np.repeat(np.arange(len(toxic)), np.diff(w.doc_off))
@@ -176,15 +264,28 @@ def _marked(w: Words, toxic: np.ndarray) -> np.ndarray:
         least = np.minimum.reduceat(window, spans)[::2]
         _, first, inverse = np.unique(least, return_index=True, return_inverse=True)
         group[full] = full[first][inverse]
-    pairs = np.unique(np.repeat(group[docs], w.features.shape[1]) << BITS | w.features.ravel())
-    bucket, owner = pairs & ((1 << BITS) - 1), pairs >> BITS
-    n = np.bincount(bucket, minlength=1 << BITS).astype(np.float64)
-    hit = np.bincount(bucket, weights=toxic[owner], minlength=1 << BITS)
+    # neither are occurrences of a feature between the same two words: at most as many documents count as there are of others
+    around = np.zeros(len(w.features), U64)
+    around[1:] = w.features[:-1, 0].astype(U64) + U64(1)
+    around[:-1] += (w.features[1:, 0].astype(U64) + U64(1)) << U64(BITS + 1)
+    around = mixed(around) & U64(0xFFFFFFFF)
+    clean, hit, places = (np.zeros(1 << BITS) for _ in range(3))
+    bad = toxic[docs] == 1
+    for f in range(w.features.shape[1]):
+        own = np.ones(len(docs), bool) if f == 0 else w.features[:, f] != w.features[:, 0]  # short words have one feature only
+        for rows, out in ((own & bad, hit), (own & ~bad, clean)):
+            bucket = np.unique(group[docs[rows]] << BITS | w.features[rows, f]) & ((1 << BITS) - 1)
+            out += np.bincount(bucket, minlength=1 << BITS)
+        seen = np.unique(w.features[own & bad, f].astype(U64) << U64(32) | around[own & bad]) >> U64(32)
+        places += np.bincount(seen.astype(np.int64), minlength=1 << BITS)
+    hit = np.minimum(hit, places)
+    n = hit + clean
     base = toxic[np.unique(group)].mean()
     share = np.clip(hit / np.maximum(n, 1), 1e-9, 1 - 1e-9)
     surprise = n * (share * np.log(share / base) + (1 - share) * np.log((1 - share) / (1 - base)))
-    marks = (share >= LEAST_SHARE) & (share > base) & (surprise > EVIDENCE)
-    return marks[w.features].any(axis=1) & (toxic[docs] == 1)
+    as_frequent = len(n) - np.searchsorted(np.sort(n), n, "left")  # features tried that are as frequent
+    marks = (share >= LEAST_SHARE) & (hit >= LEAST_DOCUMENTS) & (surprise > np.log(np.maximum(as_frequent, 1)) + MARGIN)
+    return marks[w.features].any(axis=1) & bad
 
 
 def _train(w: Words, tags: np.ndarray, epochs: int = 4, rate: float = 0.5, seed: int = 5) -> Field:
@@ -205,7 +306,7 @@ def _train(w: Words, tags: np.ndarray, epochs: int = 4, rate: float = 0.5, seed:
             off = np.concatenate([[0], np.cumsum(n)])
             at = np.repeat(w.seq_off[pick] - off[:-1], n) + np.arange(off[-1])
             part = Words(w.start[at], w.end[at], off, off, w.features[at], off)
-            p = field.marginals(part)
+            p, ahead, back = field.messages(part)
             y = tags[at].astype(np.float64)
             g = p - y
             flat, each = part.features.ravel(), np.repeat(g, part.features.shape[1])
@@ -213,17 +314,13 @@ def _train(w: Words, tags: np.ndarray, epochs: int = 4, rate: float = 0.5, seed:
             touched = np.unique(flat)
             past[touched] += total[touched] ** 2
             field.weights[touched] -= rate * total[touched] / np.sqrt(past[touched]) + 1e-4 * field.weights[touched]
-            # transitions: observed against expected, under neighbouring marginals
+            # transitions: observed against expected, by the marginals of neighbours
             inner = np.ones(len(at), bool)
             inner[off[:-1]] = False
             j = np.flatnonzero(inner)
             if len(j):
-                y0, y1, p0, p1 = y[j - 1], y[j], p[j - 1], p[j]
-                for s in (0, 1):
-                    for t in (0, 1):
-                        seen = np.where(s, y0, 1 - y0) * np.where(t, y1, 1 - y1)
-                        wanted = np.where(s, p0, 1 - p0) * np.where(t, p1, 1 - p1)
-                        field.move[s, t] += rate * 0.2 * float((seen - wanted).mean())
+                seen = np.bincount(2 * tags[at[j - 1]].astype(np.int64) + tags[at[j]], minlength=4).reshape(2, 2)
+                field.move += rate * 0.2 * (seen - field.edges(part, ahead, back, j).sum(axis=0)) / len(j)
             field.first[1] -= rate * 0.2 * float((p[off[:-1]] - y[off[:-1]]).mean())
     return field
 
@@ -248,23 +345,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: Column
     toxic = got.column("y").to_numpy().astype(np.int64)
     if not toxic.any() or toxic.all():
         return None
-    w = words_of(got.column("text").combine_chunks())
+    w = _joined(got.column("text").combine_chunks())
     if not len(w.start):
         return None
-    w.features = w.features.astype(np.int32)
-    check = np.arange(len(toxic)) % 5 == 0  # documents that calibrate, not those of the descent
+    check = np.arange(len(toxic)) % 5 == 0  # documents that calibrate, and nothing else is learned from
     if not (0 < toxic[check].sum() < check.sum()) or not (0 < toxic[~check].sum() < (~check).sum()):
         check = np.zeros(len(toxic), bool)
-    tags = _marked(w, toxic)
-    seq_doc = np.searchsorted(w.doc_off, w.seq_off[:-1], "right") - 1
-    train = np.flatnonzero(~check[seq_doc])
-    n = np.diff(w.seq_off)[train]
-    off = np.concatenate([[0], np.cumsum(n)])
-    at = np.repeat(w.seq_off[train] - off[:-1], n) + np.arange(off[-1])
-    field = _train(Words(w.start[at], w.end[at], off, off, w.features[at], off), tags[at])
-    _calibrate(field, field.marginals(w), w.doc_off, toxic)
+    part = _documents(w, np.flatnonzero(~check))
+    field = _train(part, _marked(part, toxic[~check]))
+    part = _documents(w, np.flatnonzero(check if check.any() else ~check))
+    _calibrate(field, field.marginals(part), part.doc_off, toxic[check if check.any() else ~check])
     field.weights = field.weights.astype(np.float32)
-    del w, got, tags
+    del w, got, part
     release()
     return field
 

@@ -2,8 +2,10 @@
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
-from lodestone.llm import bag, langid, quality, queries, toxicity
+from lodestone.llm import bag, langid, quality, queries, sample, textscan, toxicity
 from lodestone.llm.textscan import fold
 
 MIDDLE = "/root/testdata/sf0.01"
@@ -87,6 +89,90 @@ def test_features_do_not_depend_on_the_block():
         assert ids.tolist() == one.tolist() and np.allclose(w, v)
 
 
+def a_field(rng, w):
+    field = toxicity.Field(np.zeros(1 << toxicity.BITS), rng.normal(size=(2, 2)), rng.normal(size=2), np.zeros(3))
+    field.weights[np.unique(w.features)] = rng.normal(size=len(np.unique(w.features)))
+    return field
+
+
+def likelihood(field, w, tags):
+    """Log-likelihood of the tags by enumeration."""
+    emit, out = field.weights[w.features].sum(axis=1), 0.0
+    for a, b in zip(w.seq_off[:-1], w.seq_off[1:], strict=True):
+        score = lambda t, a=a, n=b - a: field.first[t[0]] + sum(emit[a + i] for i in range(n) if t[i]) + sum(field.move[t[i - 1], t[i]] for i in range(1, n))
+        every = [score([code >> i & 1 for i in range(b - a)]) for code in range(1 << (b - a))]
+        out += score(list(tags[a:b])) - np.logaddexp.reduce(every)
+    return out
+
+
+@pytest.mark.parametrize("piece", [64, 3, 2])
+def test_edges_are_the_gradient_of_the_likelihood(monkeypatch, piece):
+    monkeypatch.setattr(toxicity, "PIECE", piece)
+    rng = np.random.default_rng(4)
+    w = toxicity.words_of(pa.array(["a bb ccc. dd e", "f g h i j k l m"], pa.string()))
+    field, tags = a_field(rng, w), rng.integers(0, 2, len(w.start))
+    _, ahead, back = field.messages(w)
+    j = np.setdiff1d(np.arange(len(w.start)), w.seq_off[:-1])
+    seen = np.bincount(2 * tags[j - 1] + tags[j], minlength=4).reshape(2, 2)
+    got = seen - field.edges(w, ahead, back, j).sum(axis=0)
+    for s in (0, 1):
+        for t in (0, 1):
+            field.move[s, t] += 1e-5
+            up = likelihood(field, w, tags)
+            field.move[s, t] -= 2e-5
+            down = likelihood(field, w, tags)
+            field.move[s, t] += 1e-5
+            assert np.isclose(got[s, t], (up - down) / 2e-5, atol=1e-5)
+
+
+def test_pieces_of_a_long_sequence_are_joined_exactly(monkeypatch):
+    rng = np.random.default_rng(6)
+    w = toxicity.words_of(pa.array([" ".join(rng.choice(["ab", "cd", "efgh", "ij"], 3000)), "one. two three"], pa.string()))
+    field = a_field(rng, w)
+    got = field.marginals(w)
+    monkeypatch.setattr(toxicity, "PIECE", 1 << 20)
+    assert len(w.seq_off) == 4 and np.allclose(got, field.marginals(w), atol=1e-9)
+
+
+def plain_buckets(text, marked, sizes=(3, 4)):
+    """Buckets of a text's character n-grams and words, one by one."""
+    full, word = (1 << 64) - 1, 0xD6E8FEB86659FD93
+
+    def mixed(h):
+        h ^= h >> 32
+        h = h * word & full
+        return h ^ (h >> 29)
+
+    def hashed(part, salt):
+        h = mixed(sum((ord(c) + 0x51) * word * pow(textscan.BASE, i, 1 << 64) for i, c in enumerate(part)) & full)
+        return ((h ^ salt) * 0x9E3779B97F4A7C15 & full) >> (64 - bag.BITS)
+
+    framed, words = f" {text} ", text.split(" ")
+    grams = [hashed(framed[i : i + n], n) for n in sizes for i in range(len(framed) - n + 1)]
+    words = [x for x in words if x]
+    return grams, [0 if marked and i and x == words[i - 1] else hashed(x, 99) for i, x in enumerate(words)]
+
+
+def test_scores_equal_plain_averages_and_softmax():
+    rng = np.random.default_rng(9)
+    texts = ["Ab ab ab  cde 12 é", "", "x", "the end of 345 lines, the end", "häuser häuser"]
+    for fold, marked, lower, k in ((quality.folded, True, lambda t: "".join("0" if c.isdigit() else c for c in t), 2), (langid.letters, False, lambda t: "".join(c.lower() if c.isalpha() else " " for c in t), 3)):
+        model = bag.Bag(list(range(k)), rng.normal(size=(k, 1 << bag.BITS)).astype(np.float32), rng.normal(size=k), 1.7, 0.3)
+        got = model.probabilities(bag.features(pa.array(texts), fold, marked))
+        for text, p in zip(texts, got, strict=True):
+            grams, words = plain_buckets(lower(text), marked)
+            z = np.array([sum(row[g] for g in grams) / max(1, len(grams)) + sum(row[x] for x in words) / max(1, len(words)) for row in model.table.astype(float)]) + model.bias
+            z = z * 1.7 + np.eye(k)[-1] * 0.3
+            assert np.allclose(p, np.exp(z) / np.exp(z).sum(), atol=1e-5)
+
+
+def test_the_sample_is_bounded_whatever_repeats(spark):
+    rows = spark.range(5000).selectExpr("if(id < 3000, 1, id) as doc_id", "concat('text ', if(id < 2000, 1, id)) as text")
+    labels = spark.range(5000).selectExpr("if(id < 3000, 1, id) as doc_id", "int(id % 2) as y")
+    got = sample.labelled(rows, labels, "y", F.lit(True), {1: 40}, 70, "seed", ["text"]).groupBy("y").count().collect()
+    assert {r["y"]: r["count"] for r in got} == {0: 70, 1: 40}
+
+
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(2)
     texts = pa.array(["a bb ccc. dd e", None, "f g h i j k l"], pa.string())

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 
@@ -56,3 +58,42 @@ def test_odd_vectors(spark):
     assert got == [(20, 1, 1, 1024), (20, 2, 6, 1008)]
     assert mtree.top_k(v.limit(0), v.limit(0)).count() == 0
     assert mtree.top_k(v, v.limit(0)).count() == 0
+
+
+def plain_top(rows, k, every):
+    q = [(i, v) for i, v in rows if i % every == 0]
+    out = []
+    for i, v in q:
+        best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in rows if j != i)[:k]
+        out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("size", [1e6, 3e6])
+def test_large_values_are_exact(spark, size):
+    rng = np.random.default_rng(3)
+    given = [(i, [float(x) for x in rng.normal(0, size, 8)]) for i in range(300)]
+    given += [(400 + i, given[0][1]) for i in range(5)] + [(500, [1e30] * 8), (501, [float("inf")] * 8)]
+    df = mtree.scaled(spark.createDataFrame(given, "vec_id long, embedding array<double>"), "embedding", "vec_id")
+    got = mtree.top_k(df, df.where("id % 10 = 0"), 7)
+    rows = [(i, [math.floor(64 * x) for x in v]) for i, v in given if i < 500]
+    assert sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()) == plain_top(rows, 7, 10)
+
+
+def test_one_tree_for_each_shard(spark, monkeypatch):
+    monkeypatch.setattr(mtree, "SHARD_ROWS", 64)
+    monkeypatch.setattr(mtree, "QUERY_BLOCK", 16)
+    built = spark.sparkContext.accumulator(0)
+    plain = mtree.build
+
+    def build(*args):
+        built.add(1)
+        return plain(*args)
+
+    monkeypatch.setattr(mtree, "build", build)
+    rng = np.random.default_rng(5)
+    rows = [(i, [int(x) for x in rng.integers(-40, 40, 6)]) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, v array<long>")
+    got = mtree.top_k(df, df.where("id % 5 = 0"), 9).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == plain_top(rows, 9, 5)
+    assert built.value in (0, -(-500 // 64))  # 0: workers have modules of their own

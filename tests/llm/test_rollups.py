@@ -48,3 +48,19 @@ def test_two_writers_get_different_entries(spark, ledger):
     assert ledger._append({"batches": ["x"], "folder": "data/none", "replaces": []}, 0)
     assert not other._append({"batches": ["y"], "folder": "data/none", "replaces": []}, 0)
     assert other.committed() == {"x"}
+
+
+def test_writers_at_the_same_time_lose_no_batch(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    change = spark.createDataFrame([("insert", "s", "en", "v1", 5, None)], rollups.CHANGES)
+
+    def write(i):
+        return rollups.Rollup(spark, f"{tmp_path}/r").commit(f"batch {i % 6}", change)
+
+    with ThreadPoolExecutor(6) as pool:
+        done = list(pool.map(write, range(12)))
+    ledger = rollups.Rollup(spark, f"{tmp_path}/r")
+    assert sum(done) == 6 and ledger.committed() == {f"batch {i}" for i in range(6)}
+    assert [tuple(r) for r in ledger.totals().collect()] == [("s", "en", "v1", 6, 30)]
+    assert not list((tmp_path / "r" / "_tmp").glob("*.json"))
