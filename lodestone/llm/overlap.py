@@ -13,7 +13,8 @@ Texts that meet in a list of a member are first compared to one of it, chosen
 by hash anew in each list. Those that these links leave in different components
 are paired within blocks of bounded size: first each with the first one that it
 may be similar to, in an order that differs from list to list, then all that are
-in different components still. So a large group of similar texts gives links in
+in different components still. Before that last step no text tries more than
+``TRIES`` of its links. So a large group of similar texts gives links in
 proportion to its rows. A pair is given up when what
 is left behind the shared member in both sets can't reach the similarity, or
 when their parity sketches differ in more bits than so similar sets can differ
@@ -27,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.storage import cut
@@ -49,6 +50,8 @@ SKETCH = 8
 BLOCK = 4096
 #: Pairs that one step compares by their sketches.
 STEP = 1 << 16
+#: Links of one text that are tried at once before all that is left is paired.
+TRIES = 4
 #: Lists up to this length are compared across all lists of a batch at once.
 SHORT = 48
 
@@ -218,7 +221,7 @@ def _pairs_within(least: float, spanning: bool):
             i, j = able(n, at, root, bits, i, i + d)
             out.append(np.stack([sig[i], sig[j]], axis=1))
             if spanning:
-                open_[i] = False
+                open_[i] = False  # the first of a pair is the one that the link is for
         for s, m in zip(starts[lengths > SHORT], lengths[lengths > SHORT], strict=True):
             rows, two = np.arange(s, s + m), side[s] != 2
             left, right = (rows[side[rows] == 0], rows[side[rows] == 1]) if two else (rows, rows)
@@ -234,6 +237,7 @@ def _pairs_within(least: float, spanning: bool):
                     j, first = np.unique(j, return_index=True)  # pairs stand in order of i
                     i = i[first]
                     right = np.setdiff1d(right, j, assume_unique=True)
+                    i, j = j, i
                 out.append(np.stack([sig[i], sig[j]], axis=1))
         return out
 
@@ -266,7 +270,7 @@ def _numbered(cols: list[np.ndarray]) -> list[np.ndarray]:
 
 def _emit(parts: list[np.ndarray]) -> pa.RecordBatch:
     pairs = np.concatenate(parts) if parts else np.zeros((0, 2), np.int64)
-    pairs = np.unique(np.sort(pairs, axis=1), axis=0)
+    pairs = np.unique(pairs, axis=0)
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
@@ -291,7 +295,18 @@ def remaining_pairs(lists: DataFrame, roots: DataFrame, least: float, spanning:
         "sig", "n", F.col("at").cast("long").alias("at"), "root", "bits",
     )
     dealt = cells.repartition("key", "block", "other").sortWithinPartitions("key", "block", "other", F.xxhash64("key", "sig"))
-    return dealt.mapInArrow(_pairs_within(least, spanning), "a long, b long").distinct()
+    found = dealt.mapInArrow(_pairs_within(least, spanning), "a long, b long")
+    return _few(found) if spanning else _ordered(found)
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _few(pairs: DataFrame) -> DataFrame:
+    """``TRIES`` pairs of each a at most, by hash; what they leave apart is paired in full later."""
+    each = Window.partitionBy("a").orderBy(F.xxhash64("a", "b"), "b")
+    return _ordered(pairs.distinct().withColumn("nth", F.row_number().over(each)).where(F.col("nth") <= TRIES))
 
 
 def similar_links(df: DataFrame, text: str = "text", node: str = "fp", words: int = SHINGLE, least: float = LEAST) -> DataFrame:
@@ -313,7 +328,7 @@ def similar_links(df: DataFrame, text: str = "text", node: str = "fp", words: in
     met = lists.join(middle, "key").where(F.col("sig") != F.col("c.sig"))
     fields = ("n", "at", "bits")
     stars = met.where(_may(least, {f: F.col(f) for f in fields}, {f: F.col(f"c.{f}") for f in fields}))
-    stars = cut(stars.select(F.least("sig", "c.sig").alias("a"), F.greatest("sig", "c.sig").alias("b")).distinct())
+    stars = cut(_few(stars.select(F.col("sig").alias("a"), F.col("c.sig").alias("b"))))
     nodes = sets.select("sig", "a")
     every, tried = _verified(stars, nodes, df, text, node, words, least), stars
     open_lists = lists.join(middle.select("key"), "key", "left_semi")
