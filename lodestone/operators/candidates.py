@@ -111,9 +111,10 @@ def matching_lines(files: DataFrame, test, keep: tuple[str, ...] = ("workspace_i
 def regex_lines(files: DataFrame, pattern: str, keep: tuple[str, ...] = ("workspace_id", "file_path"), prefilter: bool = True) -> DataFrame:
     """Lines that match a regular expression in any case. Files without the required fragments aren't cut into lines."""
     if prefilter:
-        for fragment in required_fragments(pattern):
+        # k and s have case variants beyond ASCII, so they are left to the expression
+        for fragment in {part for f in required_fragments(pattern) for part in re.split("[kKsS]", f) if len(part) >= 3}:
             files = files.where(F.contains(ascii_lower("text"), F.lit(fragment.lower())))
-    return matching_lines(files, lambda line: line.rlike(f"(?i){pattern}"), keep)
+    return matching_lines(files, lambda line: line.rlike(f"(?iu){pattern}"), keep)
 
 
 def fragments(pattern: str) -> list[str]:

@@ -70,6 +70,12 @@ def test_fragments(pattern, want):
     assert cand.fragments(pattern) == want
 
 
+def test_regex_folds_case_beyond_ascii(spark):
+    df = spark.createDataFrame([("w", "a.md", "Äpfel\nmäßig"), ("w", "b.md", "\u212aelvin task")], "workspace_id string, file_path string, text string")
+    assert [r["line"] for r in cand.regex_lines(df, "äpfel").collect()] == ["Äpfel"]
+    assert cand.regex_lines(df, "kelvin tas").count() == 1
+
+
 def test_required_fragments_lose_no_match():
     assert cand.required_fragments("alpha|beta") == [] and cand.required_fragments("colou?r") == [] and cand.required_fragments("fn main") == ["fn main"]
 
