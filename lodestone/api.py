@@ -87,12 +87,16 @@ class Workspace:
             found = got.select(F.lit(1).cast("bigint").alias("query_id"), "workspace_id", "file_path", "start_line", F.col("start_line").alias("end_line"), "preview", F.lit("").alias("reason"), F.lit(1.0).alias("score"), F.array(F.lit(mode)).alias("sources"))
         return present.group_by_file(found, o.limit)
 
+    def has_results(self, query: str, mode: str = "hybrid", **options: Any) -> bool:
+        """Whether a search finds anything."""
+        return not self.search(query, mode, **options).isEmpty()
+
     def status(self) -> dict[str, Any]:
         if self.versions.current() is None:
             return {"root": self.root, "state": "NotIndexed"}
         stats = maintain.index_stats(self.versions.read("chunks")).collect()
         at = self.versions.read("metadata").first()["last_indexed_at_unix"]
-        return {"root": self.root, "state": "Indexed", "chunks": sum(r["n_chunks"] for r in stats), "files": sum(r["n_files"] for r in stats), "last_indexed_at_unix": at}
+        return {"root": self.root, "state": "Indexed", "chunks": sum(r["n_chunks"] for r in stats), "files": sum(r["n_files"] for r in stats), "size_bytes": self.versions.size(), "last_indexed_at_unix": at}
 
     def doctor(self, repair: bool = False) -> dict[str, Any]:
         """State and counts; with ``repair`` an unhealthy index is built anew."""

@@ -115,7 +115,7 @@ def in_scope(path: Column | str, scope: str | None, is_file: bool = False) -> Co
 
 
 def ignore_rules(text: str) -> list[tuple[bool, str]]:
-    """(negated, regex) of an ignore file's lines, over paths relative to it; the last match decides."""
+    """(negated, regex) of an ignore file's lines, over paths relative to it; a folder's path ends with a slash."""
     out = []
     for line in text.splitlines():
         line = line.rstrip()
@@ -126,7 +126,7 @@ def ignore_rules(text: str) -> list[tuple[bool, str]]:
         below = line.endswith("/")
         anchored = "/" in line.rstrip("/")
         body = _segmented(line.strip("/"))
-        out.append((negated, ("^" if anchored else "(^|.*/)") + body + ("/.*$" if below else "(/.*)?$")))
+        out.append((negated, ("^" if anchored else "(^|.*/)") + body + ("/$" if below else "/?$")))
     return out
 
 
@@ -139,12 +139,13 @@ def _segmented(glob: str) -> str:
             i += 3
             continue
         if glob.startswith("**", i):
-            out.append(".*")
+            out.append(".+" if i + 2 == len(glob) and glob[:i].endswith("/") else ".*")
             i += 2
             continue
         c = glob[i]
         if c == "*":
-            out.append("[^/]*")
+            whole = glob[:i][-1:] in ("", "/") and glob[i + 1 : i + 2] in ("", "/")
+            out.append("[^/]+" if whole else "[^/]*")
         elif c == "?":
             out.append("[^/]")
         elif c == "[" and (end := glob.find("]", i + 2)) > 0:
@@ -158,8 +159,18 @@ def _segmented(glob: str) -> str:
 
 
 def ignored(path: Column | str, rules: list[tuple[bool, str]]) -> Column:
-    """Whether an ignore file hides a path: the last rule that matches decides."""
-    p, out = col(path), F.lit(False)
-    for negated, rule in rules:
-        out = F.when(p.rlike(rule), F.lit(not negated)).otherwise(out)
-    return out
+    """Whether an ignore file hides a path: of the file or a folder above it, the last rule that matches hides it.
+
+    So nothing below a hidden folder comes back.
+    """
+    p = col(path)
+
+    def hidden(i: Column) -> Column:
+        part = F.call_function("substring_index", p, F.lit("/"), i)
+        at = F.when(F.length(part) < F.length(p), F.concat(part, F.lit("/"))).otherwise(part)
+        out = F.lit(False)
+        for negated, rule in rules:
+            out = F.when(at.rlike(rule), F.lit(not negated)).otherwise(out)
+        return out
+
+    return F.exists(F.sequence(F.lit(1), F.size(F.split(p, "/"))), hidden)

@@ -137,8 +137,10 @@ def is_definition(k: str) -> str:
 def ignored(p: str, rules) -> str:
     out = "FALSE"
     for negated, rule in rules:
-        out = f"(CASE WHEN regexp_matches({p}, {q(rule)}) THEN {'FALSE' if negated else 'TRUE'} ELSE {out} END)"
-    return out
+        out = f"(CASE WHEN regexp_matches(part, {q(rule)}) THEN {'FALSE' if negated else 'TRUE'} ELSE {out} END)"
+    parts = f"string_split({p}, '/')"
+    above = f"list_transform(range(1, len({parts}) + 1), lambda i: array_to_string({parts}[1:i], '/') || CASE WHEN i < len({parts}) THEN '/' ELSE '' END)"
+    return f"(len(list_filter({above}, lambda part: {out})) > 0)"
 
 
 def glob_match(p: str, include, exclude) -> str:

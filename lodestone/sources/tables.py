@@ -82,5 +82,10 @@ class Versions:
         self._fs.mkdirs(self._path(f"{self.root}/_current/{number:09d}-{name}"))
         return f"{self.root}/{name}"
 
+    def size(self) -> int:
+        """Bytes of all tables of the version in force; 0 before the first."""
+        at = self.current()
+        return 0 if at is None else self._fs.getContentSummary(self._path(at)).getLength()
+
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.current()}/{name}")

@@ -30,6 +30,8 @@ def test_life_of_a_workspace(workspace):
     assert "secret.txt" not in paths(w.search("calculate_tax")) and "secret.txt" in paths(w.search("calculate_tax", with_ignored=True))
     assert paths(w.search("FORMAT_", mode="literal")) == ["src/name.rs"]
     assert paths(w.search(r"pub fn \w+_tax", mode="regex", include="src/*")) == ["src/tax.rs"]
+    assert w.has_results("FORMAT_", "literal") and not w.has_results("absent words", "literal")
+    assert w.status()["size_bytes"] > 0
     (root / "src/name.rs").unlink()
     (root / "src/new.rs").write_text("fn fresh() {\n}\n")
     assert {r["file_path"]: r["change"] for r in w.pending().collect()} == {"src/name.rs": "deleted", "src/new.rs": "added"}

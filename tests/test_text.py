@@ -130,6 +130,9 @@ def test_ignore_rules(spark):
     rules = paths.ignore_rules("# c\n*.log\n/build\ntmp/\n!keep.log\na/**/z\n")
     want = {"x.log": True, "d/keep.log": False, "build/x": True, "d/build": False, "d/tmp/q": True, "tmp": False, "a/b/c/z": True, "src/a.rs": False}
     assert [r[0] for r in values(spark, list(want), paths.ignored("x", rules))] == list(want.values())
+    back = paths.ignore_rules("build/\n!build/x\nout/*\n!out/x\ngen/**\n!gen/x\n")  # only a folder that isn't hidden itself gives files back
+    want = {"build/x": True, "out/x": False, "out/y": True, "out/y/x": True, "gen/x": False, "gen/d/x": True, "d/build/x": True, "x": False}
+    assert [r[0] for r in values(spark, list(want), paths.ignored("x", back))] == list(want.values())
 
 
 @settings(max_examples=60, deadline=None)
