@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,10 +32,41 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+#: Spark's setting by which a query's shuffle files go when it ends, not when the driver's garbage is collected.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tidied(spark: SparkSession) -> Iterator[None]:
+    """Plans made in here lose their shuffle files when the query that runs them ends; each must be run once."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once, its lineage cut by a checkpoint in the shared folder."""
+    """``df`` computed once, its lineage cut by a checkpoint in the shared folder.
+
+    The shuffle files that it took go as soon as the checkpoint is written: later
+    reads, those after a lost executor included, need the checkpoint only.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with tidied(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)  # a plan made in here
+
+
+def release(*frames: DataFrame) -> None:
+    """Remove the files of frames that ``cut`` returned and that nothing reads any more, frames made of them included."""
+    for df in frames:
+        file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if file.isDefined():
+            drop(df.sparkSession, file.get())
 
 
 def scratch(spark: SparkSession, name: str) -> str:
