@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.storage import cut
+from lodestone.storage import cut, release, tidied
 
 #: A node is hot if it has more links than this share of all.
 HOT_SHARE = 1000
@@ -20,23 +20,25 @@ HOT_SHARE = 1000
 ROUNDS = 60
 
 
-def _with_least(links: DataFrame) -> DataFrame:
-    """Add to each (u, v) the smallest of u and all its neighbours, as m."""
+def _with_least(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each (u, v) with the smallest of u and all its neighbours, as m; and the cut table that this reads."""
     least = cut(links.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
-    facts = least.agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
+    with tidied(links.sparkSession):
+        facts = least.agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
     bar = max(1000, (facts["all"] or 0) // HOT_SHARE)
     if (facts["most"] or 0) <= bar:
-        return links.join(least.select("u", "m"), "u")
+        return links.join(least.select("u", "m"), "u"), least
     hot = F.broadcast(least.where(F.col("n") > bar).select("u", "m"))  # at most HOT_SHARE rows
     tried = links.join(hot, "u", "left")
     rest = tried.where("m is null").drop("m").join(least.where(F.col("n") <= bar).select("u", "m"), "u")
-    return tried.where("m is not null").unionByName(rest)
+    return tried.where("m is not null").unionByName(rest), least
 
 
 def _settled(links: DataFrame) -> bool:
     """Whether every node has one smaller neighbour at most, and that has none itself."""
-    kids = links.groupBy("a").agg(F.count("*").alias("n"))
-    r = kids.join(links.select(F.col("b").alias("root")).distinct(), F.col("a") == F.col("root"), "left").agg(F.max("n").alias("most"), F.count("root").alias("inner")).first()
+    with tidied(links.sparkSession):
+        kids = links.groupBy("a").agg(F.count("*").alias("n"))
+        r = kids.join(links.select(F.col("b").alias("root")).distinct(), F.col("a") == F.col("root"), "left").agg(F.max("n").alias("most"), F.count("root").alias("inner")).first()
     return (r["most"] or 0) <= 1 and r["inner"] == 0
 
 
@@ -49,8 +51,11 @@ def components(links: DataFrame) -> DataFrame:
             raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         # large star: a node's larger neighbours are linked to the smallest one
-        large = cut(_with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        starred, least = _with_least(both)
+        large = cut(starred.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        release(now, least)
         # small star: a node's smaller neighbours, and itself, are linked to the smallest one
         small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         now = cut(small.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(small.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct())
+        release(large)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.storage import cut
+from lodestone.storage import cut, release
 
 from . import sieve
 from .components import components
@@ -178,7 +178,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, df: DataFrame, text: str, node
     sets = cut(found.groupBy("sig").agg(F.first("members").alias("members")))  # equal sets: any of them
     left, right = sets.select(F.col("sig").alias("a"), F.col("members").alias("x")), sets.select(F.col("sig").alias("b"), F.col("members").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return cut(pairs.join(left, "a").join(right, "b").where(both >= F.lit(least) * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b"))
+    alike = cut(pairs.join(left, "a").join(right, "b").where(both >= F.lit(least) * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b"))
+    release(wanted, sets)
+    return alike
 
 
 def _may(least: float, a: dict, b: dict):
@@ -281,7 +283,7 @@ def _labels(links: DataFrame) -> DataFrame:
 
 
 def remaining_pairs(lists: DataFrame, roots: DataFrame, least: float, spanning: bool) -> DataFrame:
-    """(a, b): pairs of rows of one list that may be similar and have different roots; ``spanning``, one for each row at most."""
+    """(a, b), cut: pairs of rows of one list that may be similar and have different roots; ``spanning``, one for each row at most."""
     placed = cut(lists.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").select("key", "sig", "n", "at", "bits", F.coalesce("root", "sig").alias("root")))
     parted = cut(placed.groupBy("key").agg(F.min("root").alias("l"), F.max("root").alias("g"), F.count("*").alias("m")).where("l <> g").select("key", "m"))
     blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
@@ -296,7 +298,9 @@ def remaining_pairs(lists: DataFrame, roots: DataFrame, least: float, spanning:
     )
     dealt = cells.repartition("key", "block", "other").sortWithinPartitions("key", "block", "other", F.xxhash64("key", "sig"))
     found = dealt.mapInArrow(_pairs_within(least, spanning), "a long, b long")
-    return _few(found) if spanning else _ordered(found)
+    pairs = cut(_few(found) if spanning else _ordered(found))
+    release(placed)
+    return pairs
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -316,12 +320,17 @@ def similar_links(df: DataFrame, text: str = "text", node: str = "fp", words: in
     bar = max(HOT_TIMES, (times.agg(F.sum("times")).first()[0] or 0) // HOT_KEYS)
     shared = sieve.as_array(times.select("key"), SHARED_BITS)
     hot = sieve.as_array(times.where(F.col("times") > bar).select("key"), HOT_BITS)
+    release(times)
     first = cut(first_members(df, text, node, words, least, shared, hot).where("n > 0"))
     # equal sets are equal in all that was made of them: any row of them will do
     sets = cut(first.groupBy("sig").agg(F.min(node).alias("a"), F.max(node).alias("z"), F.first(F.struct("n", "bits", "keys", "at")).alias("one")))
-    equal = first.select("sig", F.col(node).alias("b")).join(cut(sets.where("a <> z").select("sig", "a")), "sig").where("b <> a").select("a", "b").distinct()
+    several = cut(sets.where("a <> z").select("sig", "a"))
+    equal = cut(first.select("sig", F.col(node).alias("b")).join(several, "sig").where("b <> a").select("a", "b").distinct())
+    release(first, several)
     listed = sets.select("sig", "one.n", "one.bits", F.explode(F.arrays_zip("one.keys", "one.at")).alias("p"))
     lists = cut(listed.select(F.col("p.keys").alias("key"), "sig", "n", F.col("p.at").alias("at"), "bits"))
+    nodes = cut(sets.select("sig", "a"))
+    release(sets)
 
     row = F.struct(F.xxhash64("key", "sig").alias("o"), "sig", "n", "at", "bits")
     middle = cut(lists.groupBy("key").agg(F.min(row).alias("c"), F.count("*").alias("m")).where("m > 1").select("key", "c"))
@@ -329,13 +338,15 @@ def similar_links(df: DataFrame, text: str = "text", node: str = "fp", words: in
     fields = ("n", "at", "bits")
     stars = met.where(_may(least, {f: F.col(f) for f in fields}, {f: F.col(f"c.{f}") for f in fields}))
     stars = cut(_few(stars.select(F.col("sig").alias("a"), F.col("c.sig").alias("b"))))
-    nodes = sets.select("sig", "a")
     every, tried = _verified(stars, nodes, df, text, node, words, least), stars
     open_lists = lists.join(middle.select("key"), "key", "left_semi")
     for spanning in (True, False):
         roots = _labels(every) if spanning else components(every)
-        rest = cut(remaining_pairs(open_lists, roots, least, spanning).join(tried, ["a", "b"], "left_anti"))
+        pairs = remaining_pairs(open_lists, roots, least, spanning)
+        rest = cut(pairs.join(tried, ["a", "b"], "left_anti"))
+        release(pairs)
         every, tried = every.unionByName(_verified(rest, nodes, df, text, node, words, least)), tried.unionByName(rest)
+    release(lists, middle)
     named = cut(nodes.join(every.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "sig", "left_semi"))
     of = lambda c: named.select(F.col("sig").alias(c), F.col("a").alias(f"{c}_node"))
     linked = every.join(of("a"), "a").join(of("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).where("a <> b")
