@@ -3,11 +3,17 @@
 Words are runs of bytes other than space and 09-0D. A window, word or line is
 told from others by a hash of its bytes modulo 2**64 and a prime.
 
-The trees are grown on good documents: each split takes a random column and a
+The trees are counted on good documents: each split takes a random column and a
 random place between the least and largest value that any labelled row has in
 what the splits above leave of that column. A document that stands where good
 ones don't is alone after few splits, so its path is short. Labels choose the
-rows that the trees grow on and the threshold of the score, nothing else.
+rows that the trees count and the threshold of the score, nothing else.
+
+All labelled rows are used, none is sampled: the box is their least and largest
+values, each tree's path lengths come from the number of all good rows in its
+nodes, and the threshold is the best of all places between two scores. What
+reaches the driver has a bound that doesn't depend on the rows: a count for each
+lowest node of a tree, and a row for each partition.
 
 Defined results: null and empty texts have no words and fail the base rule;
 very long texts are counted whole; repeated rows are judged alike and learned
@@ -26,7 +32,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .sample import bounded, labelled_ids
+from lodestone.session import ship
+from lodestone.storage import cut, release
+
 from .textscan import U64, map_texts, mixed, segment_sum, sure_hash, sure_prefix, utf8
 
 #: The symbols counted by a base rule.
@@ -34,9 +42,10 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 LEAST_WORDS = 10
 MOST_REPEAT_PERCENT = 20
-#: Bounds of the labelled rows, good and bad, that forest and threshold are fitted on.
-GOOD_ROWS, BAD_ROWS = 6000, 1500
+#: SUBSAMPLE is that of ``grow``, over rows in memory; ``fit`` counts all rows.
 TREES, SUBSAMPLE, DEPTH = 150, 1024, 12
+#: Rows that walk down the trees at once.
+STEP = 4096
 #: What it costs to reject a share of the labelled good rows, against missing the same share of the bad ones.
 REJECTION_COST = 20.0
 
@@ -171,23 +180,26 @@ class Forest:
     norm: float
     threshold: float = np.inf
 
+    def leaves(self, x: np.ndarray) -> np.ndarray:
+        """The node of each tree that each row ends in."""
+        trees, rows = np.arange(len(self.feature))[None, :], np.arange(len(x))[:, None]
+        at = np.zeros((len(x), len(self.feature)), np.int64)
+        for _ in range(DEPTH):
+            f = self.feature[trees, at]
+            right = x[rows, np.maximum(f, 0)] >= self.split[trees, at]
+            at = np.where(f < 0, at, 2 * at + 1 + right)
+        return at
+
     def score(self, x: np.ndarray) -> np.ndarray:
         """Anomaly score in (0, 1]; short paths over random splits score high."""
         out, trees = np.empty(len(x)), np.arange(len(self.feature))[None, :]
-        for lo in range(0, len(x), 4096):
-            part = x[lo : lo + 4096]
-            at = np.zeros((len(part), len(self.feature)), np.int64)
-            rows = np.arange(len(part))[:, None]
-            for _ in range(DEPTH):
-                f = self.feature[trees, at]
-                right = part[rows, np.maximum(f, 0)] >= self.split[trees, at]
-                at = np.where(f < 0, at, 2 * at + 1 + right)
-            out[lo : lo + 4096] = np.exp2(-self.length[trees, at].mean(axis=1) / self.norm)
+        for lo in range(0, len(x), STEP):
+            out[lo : lo + STEP] = np.exp2(-self.length[trees, self.leaves(x[lo : lo + STEP])].mean(axis=1) / self.norm)
         return out
 
 
 def grow(good: np.ndarray, lowest: np.ndarray, highest: np.ndarray, seed: int = 11) -> Forest:
-    """Trees over random samples of ``good``, with random splits of the box between ``lowest`` and ``highest``."""
+    """Trees over random samples of ``good``, rows in memory, with random splits of the box between ``lowest`` and ``highest``."""
     rng, nodes = np.random.default_rng(seed), 2 ** (DEPTH + 1) - 1
     size, columns = min(SUBSAMPLE, len(good)), np.flatnonzero(highest > lowest)
     feature, split, length = np.full((TREES, nodes), -1), np.zeros((TREES, nodes)), np.zeros((TREES, nodes))
@@ -207,21 +219,134 @@ def grow(good: np.ndarray, lowest: np.ndarray, highest: np.ndarray, seed: int =
     return Forest(feature, split, length, float(max(_mean_path(size), 1.0)))
 
 
-def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", learn: Column | None = None, doc_id: str = "doc_id", good_rows: int = GOOD_ROWS, bad_rows: int = BAD_ROWS) -> Forest | None:
-    """Forest and threshold from ``statistics`` of a bounded sample of labelled documents (label 1 for good)."""
+def drawn(lowest: np.ndarray, highest: np.ndarray, seed: int = 11) -> Forest:
+    """Trees of full depth, with random splits of the box between ``lowest`` and ``highest`` and no rows yet."""
+    rng, nodes = np.random.default_rng(seed), 2 ** (DEPTH + 1) - 1
+    columns = np.flatnonzero(highest > lowest)
+    feature, split = np.full((TREES, nodes), -1, np.int8), np.zeros((TREES, nodes))
+    low, high = (np.tile(v, (TREES, 1, 1)).astype(np.float64) for v in (lowest, highest))
+    for depth in range(DEPTH if len(columns) else 0):
+        own = slice(2**depth - 1, 2 ** (depth + 1) - 1)
+        f = rng.choice(columns, (TREES, 2**depth))[..., None]
+        lo, hi = np.take_along_axis(low, f, 2), np.take_along_axis(high, f, 2)
+        place = rng.uniform(lo, hi)
+        feature[:, own], split[:, own] = f[..., 0], place[..., 0]
+        if depth < DEPTH - 1:
+            low, high = np.repeat(low, 2, axis=1), np.repeat(high, 2, axis=1)  # a node's two children stand side by side
+            np.put_along_axis(high[:, 0::2], f, place, 2)
+            np.put_along_axis(low[:, 1::2], f, place, 2)
+    return Forest(feature, split, np.zeros((TREES, nodes)), 1.0)
+
+
+def weighed(forest: Forest, lowest: np.ndarray) -> Forest:
+    """``forest`` with the path lengths of good rows, ``lowest`` (trees x nodes of the last level) of which are in each node.
+
+    A node of fewer than two rows is a leaf.
+    """
+    levels = [lowest]
+    while levels[-1].shape[1] > 1:
+        levels.append(levels[-1].reshape(len(lowest), -1, 2).sum(axis=2))
+    rows = np.concatenate(levels[::-1], axis=1)
+    depth = np.repeat(np.arange(DEPTH + 1), 2 ** np.arange(DEPTH + 1))[None, :]
+    leaf = (rows < 2) | (depth == DEPTH) | (forest.feature < 0)
+    length = np.where(leaf, depth + _mean_path(rows), 0.0)
+    return Forest(np.where(leaf, -1, forest.feature).astype(np.int8), forest.split, length, float(max(_mean_path(rows[0, 0]), 1.0)))
+
+
+COLUMNS = ["x_symbols", "x_upper", "x_marks", "x_adjacent", "x_length"]
+
+
+def _x(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack([batch.column(c).to_numpy() for c in COLUMNS], axis=1)
+
+
+def _counted(good: DataFrame, forest: Forest) -> np.ndarray:
+    """How many of all rows are in each lowest node of each tree."""
+    handle = good.sparkSession.sparkContext.broadcast(forest)
+    first, cells = 2**DEPTH - 1, 2**DEPTH
+
+    def run(batches):
+        trees, found = handle.value, np.zeros(TREES * cells, np.int64)
+        for batch in batches:
+            x = _x(batch)
+            for lo in range(0, len(x), STEP):
+                at = trees.leaves(x[lo : lo + STEP])
+                at = np.where(at >= first, at - first, 0)  # a tree without a split: all rows in one node
+                found += np.bincount((at + np.arange(TREES)[None, :] * cells).ravel(), minlength=len(found))
+        some = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(found[some])], names=["cell", "n"])
+
+    got = good.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    handle.destroy()
+    out = np.zeros(TREES * cells, np.int64)
+    out[got.column("cell").to_numpy()] = got.column("n").to_numpy()
+    return out.reshape(TREES, cells)
+
+
+def best_cut(scored: DataFrame) -> float:
+    """``cut_between`` of all rows (v, good), wherever they are."""
+    counts = scored.groupBy("v").agg(F.sum(F.col("good").cast("long")).alias("g"), F.sum((~F.col("good")).cast("long")).alias("b"))
+    ranged = cut(counts.repartitionByRange("v").sortWithinPartitions("v").withColumn("part", F.spark_partition_id()))
+    parts = sorted(ranged.groupBy("part").agg(F.min("v").alias("least"), F.sum("g").alias("g"), F.sum("b").alias("b")).collect(), key=lambda r: r["least"])
+    before, goods, bads = {}, 0, 0
+    for r in parts:
+        before[r["part"]] = (goods, bads)
+        goods, bads = goods + r["g"], bads + r["b"]
+
+    def run(batches):
+        start = best = None
+        for batch in batches:
+            v, g, b, part = (batch.column(i).to_numpy() for i in range(4))
+            if not len(v):
+                continue
+            start = start or before[int(part[0])]
+            g, b = start[0] + np.cumsum(g), start[1] + np.cumsum(b)
+            start = (g[-1], b[-1])
+            cost = b / max(1, bads) + REJECTION_COST * (1 - g / max(1, goods))
+            i = len(v) - 1 - int(np.argmin(cost[::-1]))
+            if best is None or cost[i] <= best[0]:
+                best = (cost[i], v[i])
+        if best:
+            yield pa.RecordBatch.from_arrays([pa.array([best[0]]), pa.array([best[1]])], names=["cost", "v"])
+
+    at = min((r["cost"], -r["v"]) for r in ranged.mapInArrow(run, "cost double, v double").collect())  # a row a partition
+    value = -at[1]
+    after = ranged.where(F.col("v") > value).agg(F.min("v")).first()[0]
+    release(ranged)
+    return value if after is None else (value + after) / 2
+
+
+def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", learn: Column | None = None, doc_id: str = "doc_id") -> Forest | None:
+    """Forest and threshold from ``statistics`` of all labelled documents (label 1 for good)."""
+    spark = stats.sparkSession
+    ship(spark)
     learn = F.lit(True) if learn is None else learn
-    most = {0: bad_rows, 1: good_rows}
-    ids = labelled_ids(labels, label, learn, most, good_rows, "rules", doc_id)
-    found = stats.where(~base_failed()).join(F.broadcast(ids), F.col(doc_id) == F.col("__id__")).select(*NAMES, "y")
-    got = bounded(found, "y", most, good_rows, "rules").toArrow()
-    good = got.column("y").to_numpy() == 1
-    if not good.any() or good.all():
+    known = labels.where(learn & F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("__id__"), (F.col(label) == 1).alias("good"))
+    found = stats.where(~base_failed()).join(known.distinct(), F.col(doc_id) == F.col("__id__")).select(*NAMES, "good").distinct()
+
+    def run(batches):
+        for b in batches:
+            x = inputs({n: b.column(i).to_numpy() for i, n in enumerate(NAMES)})
+            yield pa.RecordBatch.from_arrays([b.column(len(NAMES)), *[pa.array(x[:, i]) for i in range(len(COLUMNS))]], names=["good", *COLUMNS])
+
+    rows = cut(found.mapInArrow(run, f"good boolean, {', '.join(f'{c} double' for c in COLUMNS)}"))
+    facts = rows.agg(F.bool_or("good").alias("some"), F.bool_and("good").alias("all"), *[f(c).alias(f"{c}_{n}") for c in COLUMNS for n, f in (("least", F.min), ("most", F.max))]).first()
+    if not facts["some"] or facts["all"]:
+        release(rows)
         return None
-    x = inputs({n: got.column(n).to_numpy() for n in NAMES})
-    order = np.lexsort((good, *x.T))  # the same forest, in whichever order the rows came
-    x, good = x[order], good[order]
-    forest = grow(x[good], x.min(axis=0), x.max(axis=0))
-    forest.threshold = cut_between(np.round(forest.score(x), 9), good)
+    lowest, highest = (np.array([facts[f"{c}_{n}"] for c in COLUMNS]) for n in ("least", "most"))
+    forest = drawn(lowest, highest)
+    forest = weighed(forest, _counted(rows.where("good"), forest))
+    handle = spark.sparkContext.broadcast(forest)
+
+    def scores(batches):
+        model = handle.value
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.round(model.score(_x(b)), 9)), b.column(0)], names=["v", "good"])
+
+    forest.threshold = best_cut(rows.mapInArrow(scores, "v double, good boolean"))
+    handle.destroy()
+    release(rows)
     return forest
 
 

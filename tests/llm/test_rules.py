@@ -134,3 +134,46 @@ def test_query(spark, small):
     good = spark.read.parquet(f"{small}/labels.parquet").where("quality = 1").select("doc_id").collect()
     kept = {r["doc_id"] for r in got if r["kept"]}
     assert sum(r["doc_id"] in kept for r in good) >= 0.9 * len(good)
+
+
+def labelled_statistics(spark, n):
+    """(stats, labels, inputs, good) of ``n`` labelled documents, one in five of them bad."""
+    rng = np.random.default_rng(6)
+    good = np.arange(n) % 5 != 0
+    c = {name: rng.integers(0, 30, n) for name in rules.NAMES}
+    c |= {"n_words": rng.integers(100, 400, n), "n_repeat_words": np.zeros(n, np.int64), "n_letters": rng.integers(400, 2000, n), "word_chars": rng.integers(500, 2400, n)}
+    c["n_symbols"] = np.where(good, rng.integers(0, 40, n), rng.integers(20, 90, n))
+    stats = spark.createDataFrame(pa.table({"doc_id": np.arange(n)} | {k: c[k].astype(np.int64) for k in rules.NAMES}))
+    labels = spark.createDataFrame(pa.table({"doc_id": np.arange(n), "quality": good.astype(np.int64)}))
+    return stats, labels, rules.inputs(c), good
+
+
+def test_all_labelled_rows_give_forest_and_threshold(spark):
+    """More rows of both kinds than any sample of them had: counted in the trees, and told apart by the threshold, are all."""
+    stats, labels, x, good = labelled_statistics(spark, 12_000)
+    forest = rules.fit(stats, labels)
+    assert forest.threshold == rules.cut_between(np.round(forest.score(x), 9), good)
+    lowest, highest = x.min(axis=0), x.max(axis=0)
+    whole = rules.drawn(lowest, highest)
+    for tree in (0, 7, rules.TREES - 1):
+        for row in x[[0, 1, 2, 11_999]]:
+            at, own, depth = 0, x[good], 0
+            box = np.array([lowest, highest])
+            while depth < rules.DEPTH and len(own) > 1:
+                f, place = whole.feature[tree, at], whole.split[tree, at]
+                assert box[0, f] <= place <= box[1, f]
+                right = row[f] >= place
+                own, box[1 - int(right), f] = own[(own[:, f] >= place) == right], place
+                at, depth = 2 * at + 1 + int(right), depth + 1
+            assert forest.leaves(row[None, :])[0, tree] == at
+            assert np.isclose(forest.length[tree, at], depth + rules._mean_path(np.array(len(own))))
+    assert np.isclose(forest.norm, rules._mean_path(good.sum()))
+
+
+def test_threshold_over_partitions_equals_that_of_all_rows(spark):
+    rng = np.random.default_rng(2)
+    for n, values in ((400, 30), (3000, 2000), (50, 1)):
+        v, good = np.round(rng.integers(0, values, n) / 7, 9), rng.random(n) < 0.7
+        v = np.where(good, v, v + 1)
+        scored = spark.createDataFrame(pa.table({"v": v, "good": good})).repartition(5)
+        assert rules.best_cut(scored) == rules.cut_between(v, good)
